@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
+from tidemark.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {
