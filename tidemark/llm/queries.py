@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
+from tidemark.llm.quality import op6_quality
 from tidemark.llm.simhash import op3_simhash
+from tidemark.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {
