@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
+from tidemark.llm.packing import op9_packing
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.toxicity import op1_toxicity
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op9_packing": op9_packing,
 }
 ORACLES = {
     "op7_decontaminate": OP7_SQL,
