@@ -7,14 +7,17 @@ from tidemark.llm.packing import op9_packing
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.toxicity import op1_toxicity
+from tidemark.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
+    "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op9_packing": op9_packing,
 }
 ORACLES = {
+    "op5_warc": OP5_SQL,
     "op7_decontaminate": OP7_SQL,
 }
