@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.lm import op10_lm
 from tidemark.llm.packing import op9_packing
+from tidemark.llm.pii import op8_pii
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.simhash import op3_simhash
 from tidemark.llm.toxicity import op1_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_lm": op10_lm,
 }
