@@ -240,7 +240,7 @@ def fit(shapes: list[list[int]], labels: list[int], chain: list[tuple[int, int]]
         for a, b in edges:
             counts[y[a], y[b]] += 1
             counts[y[b], y[a]] += 1
-        return np.clip(counts / counts.sum() / np.outer(share, share), 1e-3, 1e3)
+        return np.clip(counts / counts.sum() / np.outer(share, share), 0.25, 4.0)
 
     # likes agree or differ, whatever the label: a smoothed share of agreeing links
     same = (sum(y[a] == y[b] for a, b in skip) + 30.0) / (len(skip) + 31.0)
