@@ -22,7 +22,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two benchmark items or more."""
+    """Documents of fewer than two benchmark items, without the passages they share with one."""
     ship(spark)
     return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
 

@@ -53,6 +53,14 @@ def fold(column: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(array: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()
@@ -69,7 +77,3 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if lo < len(sizes):
         yield lo, len(sizes)
-
-
-def rows_of(batch: pa.RecordBatch, lo: int, hi: int) -> pa.RecordBatch:
-    return batch.slice(lo, hi - lo)

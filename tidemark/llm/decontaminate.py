@@ -176,44 +176,68 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = 2, remove: str = "documents", max_pass_bytes: int = MAX_PASS_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = 2, remove: str = "both", max_pass_bytes: int = MAX_PASS_BYTES) -> DataFrame:
     """docs without contaminated rows (remove="documents": rows with windows of min_items
-    items or more go) or with the hit words cut out of their texts (remove="spans").
-    All columns stay. A benchmark above max_pass_bytes is applied pass by pass for spans
-    and joined per text for documents."""
-    if remove not in ("documents", "spans"):
-        raise ValueError(f"remove is {remove!r}, not documents or spans")
+    items or more go), with the hit words cut out of their texts (remove="spans": again
+    until no window is left), or both: rows of min_items items go, the others' hits are cut.
+    All columns stay; n_chars, where there is one, follows the text. A benchmark above
+    max_pass_bytes is applied pass by pass for spans and joined per text for documents."""
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError(f"remove is {remove!r}, not documents, spans or both")
     spark = docs.sparkSession
-    sets = list(_passes(benchmark, n, max_pass_bytes))
-    if len(sets) > 1 and remove == "documents":
+    sets = [spark.sparkContext.broadcast(x) for x in _passes(benchmark, n, max_pass_bytes)]
+    if len(sets) > 1 and remove != "spans":
         hash_of = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
         bad = None
-        for index in sets:
-            part = _items_of(docs, spark.sparkContext.broadcast(index))
+        for held in sets:
+            part = _items_of(docs, held)
             bad = part if bad is None else bad.unionByName(part)
         bad = bad.groupBy("k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n")).where(F.col("n") >= min_items).select("k")
-        return docs.join(bad, hash_of == bad["k"], "left_anti")
+        docs = docs.join(bad, hash_of == bad["k"], "left_anti")
+        if remove == "documents":
+            return docs
+        remove = "spans"
     out = docs
-    for index in sets:
-        held = spark.sparkContext.broadcast(index)
+    for held in sets:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index("text")
                 texts = utf8(b.column(at))
                 got = list(scan(texts, held.value))
-                if remove == "documents":
-                    yield b.filter(pa.array([len(g[2]) < min_items for g in got], pa.bool_()))
-                else:
-                    cut = [_without(t, g[1]) if g[1] else t for t, g in zip(texts, got, strict=True)]
-                    nulls = b.column(at).is_null().to_pylist()
-                    text = pa.array([None if z else c.decode() for c, z in zip(cut, nulls, strict=True)], b.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+                if remove != "spans":
+                    stays = [len(g[2]) < min_items for g in got]
+                    b = b.filter(pa.array(stays, pa.bool_()))
+                    texts, got = ([x for x, s in zip(xs, stays, strict=True) if s] for xs in (texts, got))
+                yield b if remove == "documents" else _cut(b, at, texts, got, held.value)
 
         out = out.mapInArrow(run, docs.schema)
     return out
 
 
+def _cut(b: pa.RecordBatch, at: int, texts: list[bytes], got: list, index: WindowSet) -> pa.RecordBatch:
+    hit = {i: _without(texts[i], g[1]) for i, g in enumerate(got) if g[1]}
+    if not hit:
+        return b
+    todo = list(hit)
+    while todo:  # what a cut joins may be a window again
+        again = [(i, g) for i, g in zip(todo, scan([hit[i] for i in todo], index), strict=True) if g[1]]
+        hit |= {i: _without(hit[i], g[1]) for i, g in again}
+        todo = [i for i, _ in again]
+    columns = list(b.columns)
+
+    def changed(k: int, value) -> None:
+        values = columns[k].to_pylist()
+        for i, t in hit.items():
+            values[i] = value(t)
+        columns[k] = pa.array(values, b.schema.field(k).type)
+
+    changed(at, bytes.decode)
+    if "n_chars" in b.schema.names:
+        changed(b.schema.get_field_index("n_chars"), lambda t: len(t.decode()))
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+
 def _items_of(docs: DataFrame, held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import load, materialise, runs, utf8
+from tidemark.llm.common import fresh, load, materialise, runs, utf8
 from tidemark.llm.graph import components
 
 SHINGLE = 3
@@ -247,12 +247,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     of equal ids the smallest text hash). All columns stay."""
     found = near_duplicates(docs, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.d").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
+    own_hash, keep_id, keep_hash, nth = (fresh(docs, c) for c in ("_text_hash", "_keep_id", "_keep_hash", "_nth"))
+    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.d").alias(keep_id), F.col("k.h").alias(keep_hash))
     keep = materialise(keep, "keep")
-    own = docs.withColumn("_text_hash", text_hash())
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_keep_id"]) & (own["_text_hash"] == keep["_keep_hash"]))
-    once = Window.partitionBy("_keep_id", "_keep_hash").orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*(own[c] for c in docs.columns))
+    own = docs.withColumn(own_hash, text_hash())
+    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)))
+    once = Window.partitionBy(keep_id, keep_hash).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
