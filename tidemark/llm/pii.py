@@ -343,6 +343,14 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def cleared(text: str, spans: list[Span]) -> str:
+    """Redacted until no base rule matches: a cut can free what a longer match had hidden."""
+    while spans:
+        text = redacted(text, spans)
+        spans = base_spans(text)
+    return text
+
+
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """docs with spans replaced in text, and n_chars (where there is one) the new length."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
@@ -351,7 +359,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = names.index("text")
-            texts = [redacted(t, s) if s else t for t, _, s in spans_of(utf8(b.column(at)), sent.value)]
+            texts = [cleared(t, s) if s else t for t, _, s in spans_of(utf8(b.column(at)), sent.value)]
             nulls = b.column(at).is_null().to_pylist()
             columns = list(b.columns)
             columns[at] = pa.array([None if z else t for t, z in zip(texts, nulls, strict=True)], b.schema.field(at).type)
