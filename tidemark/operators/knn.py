@@ -59,7 +59,7 @@ def batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
 def _one_pass(corpus: DataFrame, qids: list[int], vectors: list, k: int, metric: str) -> DataFrame:
     spark = corpus.sparkSession
-    q = np.array(vectors, dtype=np.float64).reshape(len(qids), -1)
+    q = np.array(vectors, dtype=np.float64).reshape(len(qids), -1 if qids else 0)
     sent = spark.sparkContext.broadcast((np.array(qids, dtype=np.int64), units(q) if metric == "cosine" and len(q) else q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
