@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 STEPS, RATE, DECAY = 600, 0.05, 1e-3
 
 _CUTS = [
-    np.array([0.07, 0.2, 0.4]),  # capitals among bytes
+    np.array([0.02, 0.2, 0.4]),  # capitals beyond one a word, among bytes
     np.array([0.02, 0.05, 0.1, 0.2]),  # symbols among bytes
     np.array([0.1, 0.3]),  # digits among bytes
     np.array([0.08, 0.3]),  # words equal to the one before
@@ -62,7 +62,7 @@ def describe(text: bytes) -> list[int]:
     distinct = len(set(words)) / m
     length = min(2, int(np.log2(m) / 5))  # below 32, below 1024, more
     values = [
-        raw[_UPPER].sum() / n,
+        max(0, raw[_UPPER].sum() - m) / n,
         raw[_SYMBOL].sum() / n,
         raw[_DIGIT].sum() / n,
         sum(map(eq, words, words[1:])) / m,
