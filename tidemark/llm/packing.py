@@ -22,6 +22,7 @@ read. A tokenizer is a file whose path is a parameter; the driver reads it and s
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,7 +39,8 @@ from tidemark.llm.common import load, materialise, runs, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 500_000
+GROUP, BREAK = 64, "\x01"
 CHUNK_BYTES = 1 << 19
 BUCKET_ROWS, MAX_BUCKETS = 128, 4096
 
@@ -60,8 +62,13 @@ class ChunkTokenizer:
 
     The tokenizer cuts at white space before anything else and drops it, so a text's ids
     are those of its chunks in order. ASCII capitals are lowered first, as the tokenizer
-    does, and a point or comma between a letter or digit and a space is a chunk of its own.
+    does, and a point or comma between a letter or digit and a space is a chunk of its own;
+    a text that holds an added token's string, whatever its case, is encoded as it is.
     The cache has two generations of CACHED_CHUNKS, so its size is bounded.
+
+    New chunks are encoded many to a call. A chunk of letters a-z is one word, which needs
+    no normalising and no pattern, and its last id is one that ends words; other chunks are
+    told apart by a control character that stands between them.
     """
 
     def __init__(self, definition: str):
@@ -69,18 +76,59 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.added = [x["content"].lower().encode() for x in parts.get("added_tokens") or ()]
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.words = self.last = None
+        if suffix:
+            self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            vocabulary = self.words.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        breaks = self.tokenizer.encode(BREAK, add_special_tokens=False).ids
+        self.break_id = breaks[0] if len(breaks) == 1 else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Puts the ids of chunks into the cache."""
+        letters, mixed, odd = [], [], []
+        for c in chunks:
+            if self.last is not None and c.isalpha():
+                letters.append(c)
+            elif self.break_id is None or BREAK.encode() in c:
+                odd.append(c)
+            else:
+                mixed.append(c)
+        for tokenizer, some, between in ((self.words, letters, " "), (self.tokenizer, mixed, f" {BREAK} ")):
+            if not some:
+                continue
+            texts = [between.join([c.decode() for c in some[i : i + GROUP]]) + between for i in range(0, len(some), GROUP)]
+            coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in coded])
+            ends = np.flatnonzero(self.last[ids] if some is letters else ids == self.break_id)
+            if len(ends) != len(some):
+                raise AssertionError("chunks and their ends differ")
+            starts, after = np.concatenate(([0], ends[:-1] + 1)), ends + (some is letters)
+            raw = ids.tobytes()
+            for c, a, b in zip(some, (4 * starts).tolist(), (4 * after).tolist(), strict=True):
+                self.new[c] = raw[a:b]
+        for c in odd:
+            self.new[c] = self._whole(c)
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for lo, hi in runs([len(t) for t in texts], CHUNK_BYTES):
-            split = [_STOP.sub(rb" \1", t.lower()).split() for t in texts[lo:hi]]
-            missing = {c for words in split for c in set(words).difference(self.new)}
+            lowered = [t.lower() for t in texts[lo:hi]]
+            split = [None if any(x in t for x in self.added) else _STOP.sub(rb" \1", t).split() for t in lowered]
+            missing = {c for words in split if words for c in set(words).difference(self.new)}
             if missing:
                 if len(self.new) > CACHED_CHUNKS:
                     self.old, self.new = self.new, {}
-                    missing = {c for words in split for c in words}
+                    missing = {c for words in split if words for c in words}
                 asked = []
                 for c in missing:
                     known = self.old.get(c)
@@ -88,12 +136,10 @@ class ChunkTokenizer:
                         asked.append(c)
                     else:
                         self.new[c] = known
-                coded = self.tokenizer.encode_batch([c.decode() for c in asked], add_special_tokens=False)
-                for c, e in zip(asked, coded, strict=True):
-                    self.new[c] = np.array(e.ids, dtype="<u4").tobytes()
+                self._learn(asked)
             of = self.new.__getitem__
-            for words in split:
-                yield b"".join(map(of, words))
+            for k, words in enumerate(split, lo):
+                yield self._whole(texts[k]) if words is None else b"".join(map(of, words))
 
 
 def tokenizer_of(definition: str) -> ChunkTokenizer:
