@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidemark.functions.filters import where
-from tidemark.operators import evaluate, knn, multivector
+from tidemark.operators import branches, evaluate, knn, multivector
 
 
 @pytest.fixture(scope="module")
@@ -95,16 +95,29 @@ def test_summaries(spark):
     assert evaluate.gate({"recall": 0.9, "qps": 100, "gone": 1}, {"recall": 0.8, "qps": 99}, {"recall": 0.05, "qps": 0.1, "gone": 1}) == {"recall": "fail", "qps": "pass", "gone": "abstain"}
 
 
-def test_trace_restores_its_size(spark):
-    rows = evaluate.replace_trace(spark, 300, 100, 10, 3).orderBy("seq").collect()
-    live = set()
-    for r in rows:
-        if r.op == "upsert":
-            live.add(r.id)
+@pytest.mark.parametrize("options", [{}, {"slices": 5}, {"kinds": ("replace",)}, {"kinds": ("delete", "update", "insert"), "slices": 2}])
+def test_trace_keeps_the_live_rows(spark, options):
+    made = lambda: [tuple(r) for r in evaluate.replace_trace(spark, 300, 100, 10, 3, **options).orderBy("seq").collect()]
+    rows, live, sizes = made(), set(), {}
+    for _, ts, op, i, _ in rows:
+        if op == "upsert":
+            live.add(i)
         else:
-            assert r.id in live
-            live.discard(r.id)
-    assert len(live) == 100
-    assert [tuple(r) for r in rows] == [tuple(r) for r in evaluate.replace_trace(spark, 300, 100, 10, 3).orderBy("seq").collect()]
+            assert i in live
+            live.discard(i)
+        sizes[ts] = len(live)
+    assert len(live) == 100 and max(sizes.values()) <= 110 and min(sizes.values()) >= 90
+    assert rows == made()
+    for bad in ((100, 100, 10, 1), (300, 100, 0, 1)):
+        with pytest.raises(ValueError):
+            evaluate.replace_trace(spark, *bad)
     with pytest.raises(ValueError):
-        evaluate.replace_trace(spark, 100, 100, 10, 1)
+        evaluate.replace_trace(spark, 300, 100, 10, 1, kinds=("insert",))
+
+
+def test_tree_search(spark):
+    nodes = spark.createDataFrame([("r", None, 0, 0.0), ("a", "r", 1, 1.0), ("b", "r", 1, 0.0), ("aa", "a", 3, 0.0), ("ab", "a", 0, 0.0)], "node string, parent string, visits bigint, value double")
+    sums = branches.backpropagated(nodes)
+    assert {r.node: (r.visits, r.value) for r in sums.collect()} == {"r": (5, 1.0), "a": (4, 1.0), "b": (1, 0.0), "aa": (3, 0.0), "ab": (0, 0.0)}
+    assert {r.parent: r.node for r in branches.selected(sums).collect()} == {"r": "b", "a": "ab"}
+    assert branches.selected(sums, 0.0).where("parent = 'r'").first().node == "a"

@@ -3,11 +3,14 @@ import asyncio
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.adapters import TextStore
 from tidemark.collection import AsyncCollection, Client
 from tidemark.memory import Memory
+from tidemark.operators import multivector
 from tidemark.sources.sql import ingest, register
 from tidemark.sources.store import ChangeLog
 from tidemark.streaming.cdc import commit_stream, rejected
+from tidemark.tokens import TokenIndex
 
 E4 = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
 
@@ -157,3 +160,59 @@ def test_sql_surface(spark):
     for bad in ("items; drop", "a b"):
         with pytest.raises(ValueError):
             ingest(spark, bad, "id", "embedding")
+
+
+def test_changes_are_checked_before_they_are_written(spark, tmp_path):
+    log = ChangeLog(spark, f"file://{tmp_path}/log", 1, "l2")
+    ups = lambda *ids: rows_of(spark, [("upsert", i, [float(i)], i) for i in ids]).drop("op")
+    outs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    log.apply_changes(ups(1, 2, 3))
+    for upserts, deletes, error in [(ups(4, 4), None, ValueError), (ups(4), outs(1, 1), ValueError), (ups(1), outs(1), ValueError), (ups(5), outs(9), KeyError), (None, None, ValueError), (None, outs(4), KeyError)]:
+        with pytest.raises(error):
+            log.apply_changes(upserts, deletes)
+    assert log.clock() == 1 and log.live().count() == 3
+    done = log.apply_changes(ups(2, 5), outs(1))
+    assert (done.ts, done.upserts, done.deletes) == (2, 2, 1)
+    want = {t: sorted(map(tuple, log.live(t).collect())) for t in (1, 2)}
+    log.compact(2)
+    assert {t: sorted(map(tuple, log.live(t).collect())) for t in (1, 2)} == want
+    assert len(log.files.names("data")) == 1 and log.clock() == 2
+    log.files.write("note", "a")
+    log.files.write("note", "b", replace=True)
+    assert log.files.read("note") == "b" and log.files.names("_tmp") == []
+
+
+def test_token_index(spark, tmp_path):
+    index = TokenIndex(spark, f"file://{tmp_path}/tokens", 4)
+    index.add(1, [E4[0], E4[1]])
+    index.add(2, [E4[2]])
+    t = index.add(3, [E4[3], [0, 0, 1, 1]])
+    index.add(1, [E4[3]])  # fewer tokens than before
+    assert index.tokens().groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 1), (2, 1), (3, 2)]
+    assert [r.doc_id for r in index.search([E4[0], E4[1]], 1, t).collect()] == [1]
+    assert [r.doc_id for r in index.search([E4[2]], 1).collect()] == [2]
+    assert [r.doc_id for r in index.search([E4[2]], 1, encoder=multivector.Encoder(4, 2, 2)).collect()] == [2]
+    assert index.delete(3) == 2 and index.tokens(t).count() == 5
+    with pytest.raises(KeyError):
+        index.delete(3)
+    for bad in ([], [[1, 0]], [1, 0, 0, 0]):
+        with pytest.raises(ValueError):
+            index.add(4, bad)
+
+
+def test_text_store(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/mem", 2, "l2")
+    store = TextStore(memory, lambda texts: [[float(len(t)), float(t.count("a"))] for t in texts])
+    assert store.add_texts([]) == []
+    first, second = store.add_texts(["aaa", "bb"], [{"k": 1}, {}])
+    t = memory.snapshot()
+    hit = store.similarity_search("aab", 1)[0]
+    assert (hit.id, hit.text, hit.metadata, hit.similarity) == (first, "aaa", {"k": 1}, 0.0)
+    branch = store.thread("talk")
+    store.add_texts(["aab"], ids=["own"], branch=branch)
+    assert store.thread("talk").name == branch.name
+    assert [f.id for f in store.similarity_search("aab", 1, branch)] == ["own"] and len(store.similarity_search("aab")) == 2
+    assert store.delete([second, "none"]) == 1 and [len(store.similarity_search("x", as_of=s)) for s in (None, t)] == [1, 2]
+    for call in (lambda: store.add_texts(["a"], ids=[]), lambda: store.add_texts(["a"], [{}, {}]), lambda: store.similarity_search("a", branch=branch, as_of=t)):
+        with pytest.raises(ValueError):
+            call()

@@ -88,6 +88,18 @@ def residual4(a: str | Column, centroid: str | Column) -> Column:
     return F.struct(peak.alias("peak"), codes.alias("codes"))
 
 
+def estimated_l2sq(query: str | Column, centroid: str | Column, a: str | Column) -> Column:
+    """Squared distance from 4-bit codes: the query's and the vector's distance to the centroid,
+    and the angle between their residuals as the codes tell it, corrected by how far the codes
+    are from the residual."""
+    minus = lambda x, y: F.zip_with(_col(x), _col(y), lambda p, q: p.cast("double") - q.cast("double"))
+    far, own = minus(query, centroid), minus(a, centroid)
+    codes = residual4(a, centroid)["codes"]
+    along = dot(codes, own)  # codes over residual: both scales cancel in the quotient below
+    angle = F.when(along > 0, dot(codes, far) * dot(own, own) / along).otherwise(0.0)
+    return F.greatest(dot(far, far) + dot(own, own) - 2 * angle, F.lit(0.0))
+
+
 def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(_col(a).bitwiseXOR(_col(b)))
 

@@ -55,6 +55,10 @@ class Memory:
     def add(self, id: str | int, vector: Sequence[float], payload: Mapping[str, Any] | None = None) -> int:
         return self.main.append(_upsert(self.spark, [(id, vector, payload)], 0)).ts
 
+    def add_many(self, rows: Sequence[tuple[str | int, Sequence[float], Mapping[str, Any] | None]]) -> int:
+        """(id, vector, payload) rows in one commit."""
+        return self.main.append(_upsert(self.spark, list(rows), 0)).ts
+
     def delete(self, id: str | int) -> int:
         if self.rows().where(F.col("id") == stable_id(id)).isEmpty():
             raise KeyError(id)
@@ -96,6 +100,9 @@ class Branch:
     def add(self, id: str | int, vector: Sequence[float], payload: Mapping[str, Any] | None = None) -> int:
         return self.log.append(_upsert(self.memory.spark, [(id, vector, payload)], 0)).ts
 
+    def add_many(self, rows: Sequence[tuple[str | int, Sequence[float], Mapping[str, Any] | None]]) -> int:
+        return self.log.append(_upsert(self.memory.spark, list(rows), 0)).ts
+
     def delete(self, id: str | int) -> int:
         if self.rows().where(F.col("id") == stable_id(id)).isEmpty():
             raise KeyError(id)

@@ -70,3 +70,31 @@ def nearest_of_chain(hits: DataFrame, chain: DataFrame, k: int) -> DataFrame:
     """hits(node, id, distance) of a chain of branches: per id the least distance, the k least."""
     best = hits.join(chain.select("node"), "node", "left_semi").groupBy("id").agg(F.min("distance").alias("distance"))
     return best.orderBy("distance", "id").limit(k)
+
+
+def backpropagated(nodes: DataFrame) -> DataFrame:
+    """node, parent, visits and value of nodes(node, parent, visits, value), each with the sums
+    of all that hangs below it. One join and sum per level, over sums that shrink upwards."""
+    links = nodes.select("node", "parent")
+    level = total = nodes.select("node", "visits", "value")
+    while True:
+        above = level.join(links, "node").where("parent is not null").groupBy(F.col("parent").alias("node"))
+        level = above.agg(F.sum("visits").alias("visits"), F.sum("value").alias("value"))
+        if level.isEmpty():
+            break
+        total = total.unionByName(level)
+    sums = total.groupBy("node").agg(F.sum("visits").alias("visits"), F.sum("value").alias("value"))
+    return links.join(sums, "node")
+
+
+def selected(nodes: DataFrame, explore: float = 1.4) -> DataFrame:
+    """parent and node: of each parent's children in nodes(node, parent, visits, value) the one
+    with the highest mean value plus explore * sqrt(ln(parent's visits) / visits); an unvisited
+    child first, ties by node."""
+    above = nodes.select(F.col("node").alias("parent"), F.col("visits").alias("tries"))
+    both = nodes.join(above, "parent")
+    visits = F.when(F.col("visits") > 0, F.col("visits"))
+    bonus = F.lit(explore) * F.sqrt(F.log(F.greatest("tries", F.lit(1))) / visits)
+    score = F.coalesce(F.round(F.col("value") / visits + bonus, 9), F.lit(float("inf")))
+    ranked = both.select("parent", "node", score.alias("score"))
+    return ranked.groupBy("parent").agg(F.min_by("node", F.struct((-F.col("score")).alias("s"), "node")).alias("node"))

@@ -84,32 +84,31 @@ def tag_semantic(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(near, "id", "left").fillna(False, ["tagged"])
 
 
-def replace_trace(spark: SparkSession, pool: int, live: int, batch: int, cycles: int, seed: int = 42) -> DataFrame:
+def replace_trace(spark: SparkSession, pool: int, live: int, batch: int, cycles: int, seed: int = 42, kinds: Sequence[str] = ("insert", "update", "delete", "replace"), slices: int = 1) -> DataFrame:
     """A deterministic change log: a build, then cycles of insert, update, delete and replace
-    batches after each of which `live` ids are live again. Columns seq, ts, op, id, source_row."""
+    batches after each of which `live` ids are live again. With slices, a cycle deals its
+    batches in that many turns, kinds interleaved; kinds=("replace",) is plain turnover.
+    Columns seq, ts, op, id, source_row."""
     if not 0 < batch <= live or live + batch > pool:
         raise ValueError("a batch is at most the live rows, which with it are at most the pool")
-    rng, rows, ts, fresh = np.random.default_rng(seed), [], 1, live
-    alive = list(range(live))
-    rows += [(ts, "upsert", i, i) for i in alive]
-    for _ in range(cycles):
-        ts += 1
-        made = list(range(fresh, fresh + batch))
-        fresh += batch
-        rows += [(ts, "upsert", i, i % pool) for i in made]
-        alive += made
-        ts += 1
-        rows += [(ts, "upsert", int(i), int(rng.integers(pool))) for i in rng.choice(alive, batch, replace=False)]
-        ts += 1
-        gone = {int(i) for i in rng.choice(alive, batch, replace=False)}
-        rows += [(ts, "delete", i, None) for i in sorted(gone)]
-        alive = [i for i in alive if i not in gone]
-        ts += 1
-        out = {int(i) for i in rng.choice(alive, batch, replace=False)}
-        made = list(range(fresh, fresh + batch))
-        fresh += batch
-        rows += [(ts, "delete", i, None) for i in sorted(out)] + [(ts, "upsert", i, i % pool) for i in made]
-        alive = [i for i in alive if i not in out] + made
+    if not 0 < slices <= batch:
+        raise ValueError("slices are at most the rows of a batch")
+    if kinds.count("insert") != kinds.count("delete"):
+        raise ValueError("inserts and deletes must balance")
+    rng, ts, fresh, alive = np.random.default_rng(seed), 1, live, list(range(live))
+    rows = [(ts, "upsert", i, i) for i in alive]
+    for kind in [k for _ in range(cycles * slices) for k in kinds]:
+        ts, n = ts + 1, batch // slices
+        picked = [] if kind == "insert" else sorted(int(i) for i in rng.choice(alive, n, replace=False))
+        if kind == "update":
+            rows += [(ts, "upsert", i, int(rng.integers(pool))) for i in picked]
+        elif picked:
+            rows += [(ts, "delete", i, None) for i in picked]
+            alive = sorted(set(alive).difference(picked))
+        if kind in ("insert", "replace"):
+            made, fresh = list(range(fresh, fresh + n)), fresh + n
+            rows += [(ts, "upsert", i, i % pool) for i in made]
+            alive += made
     return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "seq bigint, ts bigint, op string, id bigint, source_row bigint")
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.vectors import distance, distances, rounded, units
+from tidemark.functions.vectors import distance, distances, rounded, sketch8, units
+from tidemark.operators.versions import visible
 
 QUERY_BLOCK = 16_384
 DIGITS = 6
@@ -163,3 +164,34 @@ def page_stats(corpus: DataFrame, pages: DataFrame, label: str | None = None) ->
     unions = [F.bit_or(label).alias("label_union")] if label else []
     stats = joined.groupBy("page_id").agg(F.max(distance("vector", "centroid", "l2")).alias("radius"), F.count(F.lit(1)).alias("live"), *unions)
     return pages.join(stats, "page_id", "left")
+
+
+def widened(corpus: DataFrame, pages: DataFrame, vector: Sequence[float], k: int, keep: Column, nprobe: int = 1, metric: str = "l2") -> DataFrame:
+    """Filtered routed search that fills k: of the pages that hold a match, the nearest nprobe
+    are taken, then twice as many, until they hold k matches or all are taken. How many are
+    needed is read off one count per page, so there is one search, not one per doubling."""
+    held = corpus.where(keep).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    near = pages.join(held, "page_id").withColumn("gap", rounded(distance("centroid", _literal(vector), metric), DIGITS))
+    order = Window.orderBy("gap", "page_id")  # over the directory: a row per page
+    ranked = near.select("page_id", F.row_number().over(order).alias("place"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("matches"))
+    enough = F.coalesce(F.min(F.when(F.col("matches") >= k, F.col("place"))), F.max("place"))
+    probes = F.lit(nprobe) * F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(enough / F.lit(nprobe))), F.lit(0)))
+    taken = ranked.crossJoin(F.broadcast(ranked.agg(probes.alias("probes")))).where("place <= probes").select("page_id")
+    return exact(corpus.join(taken, "page_id", "left_semi"), vector, k, metric, keep)
+
+
+def screened(corpus: DataFrame, vector: Sequence[float], k: int, factor: int = 4, least: int = 64) -> DataFrame:
+    """Two stages over unit vectors: the best max(k * factor, least) by the product of signed
+    bytes, then exact cosine distances of those."""
+    products = F.zip_with(sketch8("vector"), sketch8(_literal(vector)), lambda x, y: x * y)
+    rough = corpus.withColumn("rough", F.aggregate(products, F.lit(0), lambda s, x: s + x))
+    return exact(rough.orderBy(F.desc("rough"), "id").limit(max(k * factor, least)).drop("rough"), vector, k)
+
+
+def search_metrics(versions: DataFrame, pages: DataFrame, vector: Sequence[float], nprobe: int, t: int, metric: str = "l2") -> DataFrame:
+    """What a routed search of versions(id, page_id, begin_ts, end_ts) as of t looks at: pages,
+    versions in them, those not visible at t, and candidates that are left."""
+    chosen = route(pages, vector, nprobe, metric).select("page_id")
+    inside = versions.join(chosen, "page_id", "left_semi")
+    seen = F.coalesce(visible(t), F.lit(False))
+    return inside.agg(F.count_distinct("page_id").alias("pages"), F.count(F.lit(1)).alias("versions"), F.count_if(~seen).alias("mvcc_filtered"), F.count_if(seen).alias("candidates"))

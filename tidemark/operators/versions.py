@@ -138,3 +138,15 @@ def snapshot_diff(versions: DataFrame, t1: int, t2: int) -> DataFrame:
     b = as_of(versions, t2).select("id", F.col("begin_ts").alias("b2"))
     kind = F.when(F.col("b1").isNull(), "added").when(F.col("b2").isNull(), "removed").when(F.col("b1") != F.col("b2"), "replaced")
     return a.join(b, "id", "full").select("id", kind.alias("change")).where("change is not null")
+
+
+def stats_at(versions: DataFrame, snapshots: Sequence[int]) -> DataFrame:
+    """snapshot, live, retained and amplification as of each snapshot, in one pass: what every
+    cycle of a churning table holds if nothing is reclaimed."""
+    columns = []
+    for i, t in enumerate(snapshots):
+        columns += [F.count_if(visible(t)).alias(f"live{i}"), F.count_if(F.col("begin_ts") <= t).alias(f"all{i}")]
+    wide = versions.agg(*columns)
+    row = lambda i, t: F.struct(F.lit(t).cast("bigint").alias("snapshot"), F.col(f"live{i}").alias("live"), (F.col(f"all{i}") - F.col(f"live{i}")).alias("retained"))
+    rows = wide.select(F.explode(F.array(*(row(i, t) for i, t in enumerate(snapshots)))).alias("r")).select("r.*")
+    return rows.withColumn("amplification", F.round((F.col("live") + F.col("retained")) / F.when(F.col("live") > 0, F.col("live")), 6))

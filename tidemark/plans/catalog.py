@@ -237,6 +237,35 @@ def page_assignment(spark, d):
     return knn.assign(corpus(spark, d).select("id", "vector"), pages(spark, d)).select("id", F.col("page_id").cast("int").alias("page_id"))
 
 
+_GAPS = f"(SELECT page_id, {_L2.format(a='centroid', b=_Q0)} AS gap FROM {_PAGES})"
+_HELD = f"(SELECT *, row_number() OVER (ORDER BY gap, page_id) AS place, sum(n) OVER (ORDER BY gap, page_id) AS matches FROM {_GAPS} JOIN (SELECT label AS page_id, count(*) AS n FROM embeddings WHERE vec_id % 8 IN (1, 2) GROUP BY 1) USING (page_id))"
+
+
+@query(_near(_L2, f"vec_id % 8 IN (1, 2) AND label IN (SELECT page_id FROM {_HELD} WHERE place <= (SELECT pow(2, ceil(log2(coalesce(min(place) FILTER (matches >= 30), max(place))))) FROM {_HELD}))", 30))
+def ivf_widening(spark, d):
+    rows = corpus(spark, d).withColumn("page_id", F.col("label"))
+    return knn.widened(rows, pages(spark, d), anchor(spark, d), 30, F.pmod("id", F.lit(8)).isin(1, 2)).select("id", "distance")
+
+
+_SKETCH = "list_transform(CAST({v} AS DOUBLE[]), lambda x: CAST(greatest(-127, least(127, round(x * 127))) AS BIGINT))"
+_ROUGH = f"(SELECT vec_id, embedding FROM (SELECT vec_id, embedding, list_sum(list_transform(list_zip({_SKETCH.format(v='embedding')}, {_SKETCH.format(v=_Q0)}), lambda z: z[1] * z[2])) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 64)"
+
+
+@query(_near(rows=_ROUGH))
+def knn_screened(spark, d):
+    return knn.screened(corpus(spark, d), anchor(spark, d), 10).select("id", "distance")
+
+
+@query(f"""SELECT count(DISTINCT label) AS pages, count(*) AS versions, count(*) FILTER (NOT seen) AS mvcc_filtered, count(*) FILTER (seen) AS candidates FROM (
+  SELECT label, b <= t AND (e IS NULL OR e > t) AS seen FROM (SELECT vec_id AS b, label, lead(vec_id) OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) AS e, (SELECT max(vec_id) * 2 // 3 FROM embeddings) AS t FROM embeddings)
+  WHERE label IN (SELECT page_id FROM {_GAPS} ORDER BY gap, page_id LIMIT 3))""")
+def search_metrics(spark, d):
+    rows = corpus(spark, d)
+    t = rows.agg(F.max("id")).first()[0] * 2 // 3
+    changes = rows.select((F.col("id") % 100).alias("id"), F.col("id").alias("ts"), F.lit(0).alias("seq"), F.lit("upsert").alias("op"), F.col("label").alias("page_id"))
+    return knn.search_metrics(versions.intervals(changes), pages(spark, d), anchor(spark, d), 3, t)
+
+
 # --- vector functions -----------------------------------------------------------------
 
 
@@ -261,6 +290,18 @@ def vector_residual(spark, d):
     return rows.select("id", F.round("r.peak", 6).alias("peak"), F.aggregate("r.codes", F.lit(0).cast("bigint"), lambda s, x: s + F.abs(x)).alias("weight"))
 
 
+_MINUS = "list_transform(list_zip(CAST({a} AS DOUBLE[]), centroid), lambda z: z[1] - z[2])"
+
+
+@query(f"""SELECT id, round(greatest(list_inner_product(f, f) + list_inner_product(o, o) - 2 * CASE WHEN list_inner_product(c, o) > 0 THEN list_inner_product(c, f) * list_inner_product(o, o) / list_inner_product(c, o) ELSE 0 END, 0), 5) + 0.0 AS estimate FROM (
+  SELECT id, f, o, list_transform(o, lambda x: round(x / peak * 7)) AS c FROM (SELECT id, f, o, list_max(list_transform(o, lambda x: abs(x))) AS peak FROM (
+  SELECT vec_id AS id, {_MINUS.format(a=_Q0)} AS f, {_MINUS.format(a='embedding')} AS o FROM embeddings JOIN {_PAGES} ON label = page_id)))""")
+def estimated_distance(spark, d):
+    q = F.array(*(F.lit(x) for x in anchor(spark, d)))
+    rows = corpus(spark, d).join(pages(spark, d), F.col("label") == F.col("page_id"))
+    return rows.select("id", vectors.rounded(vectors.estimated_l2sq(q, "centroid", "vector"), 5).alias("estimate"))
+
+
 @query("SELECT a.n_nationkey AS code, arg_min(b.r_regionkey, CAST(bit_count(xor(a.n_nationkey, b.r_regionkey)) AS BIGINT) * 100 + b.r_regionkey) AS nearest FROM nation a, region b GROUP BY 1")
 def nearest_code(spark, d):
     codes, full = table(spark, d, "nation").select(F.col("n_nationkey").alias("code")), table(spark, d, "region").select(F.col("r_regionkey").alias("full"))
@@ -392,6 +433,13 @@ def snapshot_diff(spark, d):
     return versions.snapshot_diff(own, half(spark, d), versions.clock(log(spark, d)).first().clock)
 
 
+@query(f"""SELECT t AS snapshot, count(*) FILTER (seen) AS live, count(*) FILTER (NOT seen) AS retained, round(count(*) / count(*) FILTER (seen), 6) AS amplification FROM (
+  SELECT t, end_ts IS NULL OR end_ts > t AS seen FROM {_INTERVALS}, (SELECT (SELECT max(event_id) FROM events) * unnest([1, 2, 3, 4]) // 4 AS t) WHERE begin_ts <= t) GROUP BY 1""")
+def churn_cycles(spark, d):
+    last = table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    return versions.stats_at(versions.intervals(log(spark, d)), [last * i // 4 for i in (1, 2, 3, 4)])
+
+
 @query(f"SELECT id, value FROM {_NOW}")
 def log_replay(spark, d):
     shadow = log(spark, d).select(F.col("ts").alias("seq"), F.when(F.col("op") == "upsert", 1).otherwise(2).alias("op"), "id", F.array("value").alias("vector"))
@@ -462,6 +510,29 @@ def branch_ancestors(spark, d):
     return branches.ancestors(spark, "tidemark_parents", str(users.first().m))
 
 
+_NODES = "(SELECT n AS node, CASE WHEN n > 0 THEN n // 2 END AS parent, coalesce(visits, 0) AS visits, coalesce(value, 0) AS value FROM (SELECT unnest(range(0, (SELECT max(user_id) + 1 FROM events))) AS n) LEFT JOIN (SELECT user_id, count(*) AS visits, sum(value) AS value FROM events GROUP BY 1) ON n = user_id)"
+_UP = f"(WITH RECURSIVE up(node, top) AS (SELECT node, node FROM {_NODES} UNION ALL SELECT up.node, p.parent FROM up JOIN {_NODES} p ON p.node = up.top WHERE p.parent IS NOT NULL) SELECT top AS node, sum(visits) AS visits, sum(value) AS value FROM up JOIN {_NODES} USING (node) GROUP BY 1)"
+
+
+def _tree(spark, d) -> DataFrame:
+    users = table(spark, d, "events").agg(F.max("user_id").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "m")).alias("node"))
+    seen = table(spark, d, "events").groupBy(F.col("user_id").alias("node")).agg(F.count(F.lit(1)).alias("visits"), F.sum("value").alias("value"))
+    parent = F.when(F.col("node") > 0, F.floor(F.col("node") / 2))
+    return users.join(seen, "node", "left").select("node", parent.alias("parent"), F.coalesce("visits", F.lit(0)).alias("visits"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+@query(f"SELECT node, CAST(visits AS BIGINT) AS visits, round(value, 3) + 0.0 AS value FROM {_UP}")
+def tree_backprop(spark, d):
+    return branches.backpropagated(_tree(spark, d)).select("node", "visits", vectors.rounded(F.col("value"), 3).alias("value"))
+
+
+@query(f"""SELECT parent, arg_min(node, (-s, node)) AS node FROM (
+  SELECT c.parent, c.node, CASE WHEN u.visits > 0 THEN round(u.value / u.visits + 1.4 * sqrt(ln(greatest(p.visits, 1)) / u.visits), 9) ELSE CAST('inf' AS DOUBLE) END AS s
+  FROM {_NODES} c JOIN {_UP} u ON u.node = c.node JOIN {_UP} p ON p.node = c.parent) GROUP BY 1""")
+def tree_select(spark, d):
+    return branches.selected(branches.backpropagated(_tree(spark, d)))
+
+
 @query(f"""SELECT user_id AS id, min(value) AS distance FROM events WHERE event_type IN ('view', 'click') GROUP BY 1 ORDER BY 2, 1 LIMIT 10""")
 def chain_search(spark, d):
     hits = table(spark, d, "events").select(F.col("event_type").alias("node"), F.col("user_id").alias("id"), F.col("value").alias("distance"))
@@ -592,6 +663,12 @@ def replace_trace(spark, d):
     return evaluate.replace_trace(spark, 3000, 1000, 100, 2)
 
 
+@query()
+def mixed_trace(spark, d):
+    """Random by seed, its kinds interleaved: checked by its invariants in the tests."""
+    return evaluate.replace_trace(spark, 3000, 1000, 96, 2, slices=8)
+
+
 # --- documents ------------------------------------------------------------------------
 
 
@@ -623,6 +700,17 @@ def store_round_trip(spark, d):
     return own.live().select("id", F.col("label").cast("int").alias("label"))
 
 
+@query("SELECT vec_id AS id, CAST(CASE WHEN vec_id % 4 = 0 THEN label + 10 ELSE label END AS INTEGER) AS label FROM embeddings WHERE vec_id % 4 <> 1")
+def store_apply_changes(spark, d):
+    """Checked upserts and deletes in one commit, then a compaction."""
+    own = ChangeLog(spark, f"{_folder(spark)}/log", len(anchor(spark, d)))
+    rows = corpus(spark, d).withColumn("label", F.col("label").cast("bigint"))
+    own.apply_changes(rows)
+    own.apply_changes(rows.where(F.col("id") % 4 == 0).withColumn("label", F.col("label") + 10), rows.where(F.col("id") % 4 == 1))
+    own.compact(4)
+    return own.live().select("id", F.col("label").cast("int").alias("label"))
+
+
 @query(f"SELECT id, event_type FROM {_NOW}")
 def stream_cdc(spark, d):
     """The events as a stream of changes, committed batch by batch."""

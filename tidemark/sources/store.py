@@ -31,24 +31,30 @@ class Files:
     """A folder through Hadoop's file system."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
-        self.path = self.jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.jvm, self.gateway, self.root = spark.sparkContext._jvm, spark.sparkContext._gateway, root.rstrip("/")
+        self.path, self.conf = self.jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(self.root).getFileSystem(self.conf)
 
     def at(self, name: str) -> Any:
         return self.path(f"{self.root}/{name}" if name else self.root)
 
     def write(self, name: str, text: str, replace: bool = False) -> None:
-        """Whole or not at all; without replace an existing file is an error."""
-        if self.fs.exists(self.at(name)):
-            if not replace:
-                raise FileExistsError(name)
-            self.fs.delete(self.at(name), False)
+        """Whole or not at all; without replace an existing file is an error. A reader of a
+        file being replaced sees the old one or the new one."""
+        if not replace and self.fs.exists(self.at(name)):
+            raise FileExistsError(name)
         temp = self.at(f"_tmp/{uuid.uuid4().hex}")
         out = self.fs.create(temp)
         out.write(bytearray(text.encode()))
         out.close()
         self.fs.mkdirs(self.at(name).getParent())
+        if replace:
+            option = self.jvm.org.apache.hadoop.fs.Options.Rename
+            options = self.gateway.new_array(option, 1)
+            options[0] = option.OVERWRITE
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+            context.rename(self.fs.makeQualified(temp), self.fs.makeQualified(self.at(name)), options)
+            return
         if not self.fs.rename(temp, self.at(name)):
             raise FileExistsError(name)
 
@@ -145,6 +151,25 @@ class ChangeLog:
         self.files.write(f"_commits/{ts:020d}.json", json.dumps(record))
         return Commit(ts, record["upserts"], record["deletes"])
 
+    def apply_changes(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, ts: int | None = None) -> Commit:
+        """Upserts(id, vector, ...) and deletes(id) in one commit. All is checked before anything
+        is written: an id given twice or on both sides is a ValueError, a delete of an id that
+        is not live a KeyError."""
+        sides = [x for x in (None if upserts is None else upserts.withColumn("op", F.lit(UPSERT)), None if deletes is None else deletes.select("id", F.lit(DELETE).alias("op"))) if x is not None]
+        if not sides:
+            raise ValueError("no changes are given")
+        rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
+        asked = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("op").alias("least"), F.max("op").alias("most"))
+        live = self.live().select(F.col("id").alias("known"))
+        told = asked.join(live, asked["id"] == live["known"], "left")
+        problem = F.when(F.col("least") != F.col("most"), "both").when(F.col("n") > 1, "twice").when((F.col("least") == DELETE) & F.col("known").isNull(), "unknown")
+        wrong = told.select("id", problem.alias("p")).where("p is not null").orderBy("id").first()
+        if wrong:
+            if wrong.p == "unknown":
+                raise KeyError(wrong.id)
+            raise ValueError(f"id {wrong.id} is {'deleted and upserted' if wrong.p == 'both' else 'given twice'}")
+        return self.append(rows, ts)
+
     def versions(self) -> DataFrame:
         return intervals(self.changes().where(F.col("op") != META))
 
@@ -167,12 +192,22 @@ class ChangeLog:
         rest = rest.where(F.col("op") == UPSERT).unionByName(rest.where(F.col("op") == DELETE))
         rest.unionByName(meta.join(stays.select("id").distinct(), "id", "left_semi")).select(*changes.columns).write.parquet(f"{self.root}/{path}")
         gone = before.count() - kept.count()
-        old = {r["path"] for r in self._records()}
+        self._publish(path)
+        return gone
+
+    def _publish(self, path: str) -> None:
+        old = {r["path"] for r in self._records()} - {path}
         for r in reversed(self._records()):
             self.files.write(f"_commits/{r['ts']:020d}.json", json.dumps(r | {"path": path}), replace=True)
         for p in old:
             self.files.delete(p)
-        return gone
+
+    def compact(self, files: int) -> None:
+        """Rewrites the rows of all commits, the whole history, as about `files` files of id
+        ranges, so that small commits do not stay small files and reads by id skip most."""
+        path = f"data/{uuid.uuid4().hex}"
+        self.changes().repartitionByRange(files, "id").sortWithinPartitions("id", "ts", "seq").write.parquet(f"{self.root}/{path}")
+        self._publish(path)
 
     def checkpoint(self, path: str) -> None:
         """A copy of the whole log: data folders first, the manifest that names them last."""
