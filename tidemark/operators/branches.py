@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import DELETE, UPSERT, latest
+from tidemark.session import cut
 
 FAIL, LAST_WRITER = "fail_on_conflict", "last_writer_wins"
 
@@ -74,12 +75,14 @@ def nearest_of_chain(hits: DataFrame, chain: DataFrame, k: int) -> DataFrame:
 
 def backpropagated(nodes: DataFrame) -> DataFrame:
     """node, parent, visits and value of nodes(node, parent, visits, value), each with the sums
-    of all that hangs below it. One join and sum per level, over sums that shrink upwards."""
+    of all that hangs below it. One join and sum per level, over sums that shrink upwards;
+    a level is written to the checkpoint folder, so the plan does not grow with the depth."""
+    nodes = cut(nodes)
     links = nodes.select("node", "parent")
     level = total = nodes.select("node", "visits", "value")
     while True:
         above = level.join(links, "node").where("parent is not null").groupBy(F.col("parent").alias("node"))
-        level = above.agg(F.sum("visits").alias("visits"), F.sum("value").alias("value"))
+        level = cut(above.agg(F.sum("visits").alias("visits"), F.sum("value").alias("value")))
         if level.isEmpty():
             break
         total = total.unionByName(level)

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +35,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder and read from there; where the session
+    names no folder (local runs), a temporary one is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return df.checkpoint()
