@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP7_SQL, op7_decontaminate
 from tidemark.llm.embdedup import OP4_SQL, op4_embeddings
+from tidemark.llm.licenses import op2_licenses
 from tidemark.llm.lm import op10_lm
 from tidemark.llm.packing import op9_packing
 from tidemark.llm.pii import op8_pii
@@ -14,6 +15,7 @@ from tidemark.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_embeddings": op4_embeddings,
     "op5_warc": op5_warc,
