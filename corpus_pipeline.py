@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, pii, quality, simhash
+from tidemark.llm import decontaminate, nearcopies, packing, pii, quality
 from tidemark.llm.common import load, materialise
 from tidemark.session import ship
 
@@ -16,9 +16,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near copies: 5-word shingles of similarity 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,7 +245,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, group_rows: int = G
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each near-duplicate group: its smallest doc_id (null ids last;
     of equal ids the smallest text hash). All columns stay."""
-    found = near_duplicates(docs, shingle)
+    return keep_found(docs, near_duplicates(docs, shingle))
+
+
+def keep_found(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one for groups found(doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     own_hash, keep_id, keep_hash, nth = (fresh(docs, c) for c in ("_text_hash", "_keep_id", "_keep_hash", "_nth"))
     keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.d").alias(keep_id), F.col("k.h").alias(keep_hash))
