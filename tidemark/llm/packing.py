@@ -8,9 +8,11 @@ sets that provably dominate every other set with the same piece (Martello and To
 
 * a piece as long as a sequence, or one beside which nothing fits, alone;
 * a piece with the one that fills the rest exactly;
-* a piece with the longest that fits, if no two or more others that fit have a larger sum.
+* a piece with the longest that fits, if no two or more others that fit have a larger sum;
+* where no three others fit beside it, a piece with the longest that fits and the longest
+  beside that, if no other two that fit have a longer smaller one.
 
-The remainder is packed by best fit, longest first, on counts. The plan is a list of runs
+Every length is tried, and all again until a whole pass fixes nothing. The remainder is packed by best fit, longest first, on counts. The plan is a list of runs
 ("ranks a to b of length l go to these sequences at this offset"), a few per length, so it
 is broadcast. Pieces get their rank within their length from counts of (length, bucket)
 and a row number inside a bucket: no task holds a whole length, and token ids never move.
@@ -27,7 +29,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from tidemark.llm.common import load, materialise, runs, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS, CHUNK_MOST = 500_000, 128
 GROUP, BREAK = 64, "\x01"
 CHUNK_BYTES = 1 << 19
 BUCKET_ROWS, MAX_BUCKETS = 128, 4096
@@ -53,22 +55,39 @@ def default_tokenizer() -> str:
 
 # --- token ids ------------------------------------------------------------------------
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+_UNITS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: bytes of plain texts: white space, ASCII but for the apostrophe, and letters from U+00C0 to U+00FF
+_PLAIN = bytes({9, 10, 11, 12, 13, *range(32, 127), 0xC3, *range(0x80, 0xC0)} - {39})
+_SIGNS = "\u00d7".encode(), "\u00f7".encode()
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: what a tokenizer must do before its merges for its texts to be coded chunk by chunk
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BY_BYTE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _tokenizers: dict[int, "ChunkTokenizer"] = {}
 
 
-class ChunkTokenizer:
-    """Ids of whole texts through a cache of their space-separated chunks.
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it shows, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
 
-    The tokenizer cuts at white space before anything else and drops it, so a text's ids
-    are those of its chunks in order. ASCII capitals are lowered first, as the tokenizer
-    does, and a point or comma between a letter or digit and a space is a chunk of its own;
-    a text that holds an added token's string, whatever its case, is encoded as it is.
-    The cache has two generations of CACHED_CHUNKS, so its size is bounded.
 
-    New chunks are encoded many to a call. A chunk of letters a-z is one word, which needs
-    no normalising and no pattern, and its last id is one that ends words; other chunks are
-    told apart by a control character that stands between them.
+class ChunkTokenizer:
+    """Ids of whole texts through a cache of the ids of their parts.
+
+    Texts are coded by parts only where the tokenizer's own definition says that it drops
+    white space, lower-cases, and then cuts letters, digits and marks apart. ASCII capitals
+    are lowered first. A plain text, one of ASCII without apostrophes and Latin-1 letters,
+    is cut as the tokenizer cuts it: into words, digits and runs of marks. Any other text is
+    cut at white space only. A text that holds an added token's string, whatever its case,
+    is encoded as it is, and so is every text of any other tokenizer.
+
+    The cache has two generations of CACHED_CHUNKS parts of at most CHUNK_MOST bytes each.
+    New parts are encoded many to a call. One of Latin letters is one word, which needs no
+    pattern, and its last id is one that ends words; others are told apart by a control
+    character that stands between them.
     """
 
     def __init__(self, definition: str):
@@ -77,44 +96,76 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         parts = json.loads(definition)
+        cut, model = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], parts["model"]
+        self.chunked = (
+            (parts.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and cut[0].get("pattern") == {"Regex": _PATTERN}
+            and cut[0].get("behavior") == "Removed"
+            and cut[0].get("invert") is True
+            and cut[1:] == [_BY_BYTE]
+            and model.get("type") == "BPE"
+            and not model.get("dropout")
+            and not parts.get("truncation")
+        )
         self.added = [x["content"].lower().encode() for x in parts.get("added_tokens") or ()]
-        suffix = parts["model"].get("end_of_word_suffix")
+        suffix = model.get("end_of_word_suffix")
         self.words = self.last = None
-        if suffix:
+        if suffix and self.chunked:
             self.words = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
             vocabulary = self.words.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         breaks = self.tokenizer.encode(BREAK, add_special_tokens=False).ids
         self.break_id = breaks[0] if len(breaks) == 1 else None
+        self.letters = _byte_letters()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Puts the ids of chunks into the cache."""
-        letters, mixed, odd = [], [], []
+    def _encode(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        letters, mixed = ([], []), ([], [])
         for c in chunks:
-            if self.last is not None and c.isalpha():
-                letters.append(c)
+            word = None
+            if self.last is not None:
+                if c.isalpha():
+                    word = c.decode()
+                elif _LETTERS.fullmatch(t := c.decode().lower()):
+                    word = t.encode().decode("latin-1").translate(self.letters)
+            if word is not None:
+                letters[0].append(c), letters[1].append(word)
             elif self.break_id is None or BREAK.encode() in c:
-                odd.append(c)
+                out[c] = self._whole(c)
             else:
-                mixed.append(c)
-        for tokenizer, some, between in ((self.words, letters, " "), (self.tokenizer, mixed, f" {BREAK} ")):
+                mixed[0].append(c), mixed[1].append(c.decode())
+        for tokenizer, (some, words), between in ((self.words, letters, " "), (self.tokenizer, mixed, f" {BREAK} ")):
             if not some:
                 continue
-            texts = [between.join([c.decode() for c in some[i : i + GROUP]]) + between for i in range(0, len(some), GROUP)]
-            coded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in coded])
-            ends = np.flatnonzero(self.last[ids] if some is letters else ids == self.break_id)
+            texts = [between.join(words[i : i + GROUP]) + between for i in range(0, len(some), GROUP)]
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            own = tokenizer is self.words
+            ends = np.flatnonzero(self.last[ids] if own else ids == self.break_id)
             if len(ends) != len(some):
                 raise AssertionError("chunks and their ends differ")
-            starts, after = np.concatenate(([0], ends[:-1] + 1)), ends + (some is letters)
+            starts, after = np.concatenate(([0], ends[:-1] + 1)), ends + own
             raw = ids.tobytes()
             for c, a, b in zip(some, (4 * starts).tolist(), (4 * after).tolist(), strict=True):
-                self.new[c] = raw[a:b]
-        for c in odd:
-            self.new[c] = self._whole(c)
+                out[c] = raw[a:b]
+        return out
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Puts the ids of chunks into the cache."""
+        if self.old:
+            known = {c: self.old[c] for c in chunks if c in self.old}
+            self.new |= known
+            chunks = chunks.difference(known)
+        self.new |= self._encode(chunks)
+
+    def _cut(self, text: bytes) -> list[bytes] | None:
+        text = text.lower()
+        if not self.chunked or any(x in text for x in self.added):
+            return None
+        plain = not text.translate(None, _PLAIN) and not any(x in text for x in _SIGNS)
+        return _UNITS.findall(text) if plain else text.split()
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -122,24 +173,23 @@ class ChunkTokenizer:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for lo, hi in runs([len(t) for t in texts], CHUNK_BYTES):
-            lowered = [t.lower() for t in texts[lo:hi]]
-            split = [None if any(x in t for x in self.added) else _STOP.sub(rb" \1", t).split() for t in lowered]
-            missing = {c for words in split if words for c in set(words).difference(self.new)}
-            if missing:
-                if len(self.new) > CACHED_CHUNKS:
-                    self.old, self.new = self.new, {}
-                    missing = {c for words in split if words for c in words}
-                asked = []
-                for c in missing:
-                    known = self.old.get(c)
-                    if known is None:
-                        asked.append(c)
-                    else:
-                        self.new[c] = known
-                self._learn(asked)
-            of = self.new.__getitem__
-            for k, words in enumerate(split, lo):
-                yield self._whole(texts[k]) if words is None else b"".join(map(of, words))
+            if len(self.new) > CACHED_CHUNKS:
+                self.old, self.new = self.new, {}
+            split = list(map(self._cut, texts[lo:hi]))
+            got = [None if words is None else list(map(self.new.get, words)) for words in split]
+            late: list[tuple[list, int, bytes]] = []  # ids, place and chunk of what the cache lacks
+            for words, g in zip(split, got, strict=True):
+                at = -1
+                for _ in range(g.count(None) if g else 0):
+                    at = g.index(None, at + 1)
+                    late.append((g, at, words[at]))
+            missing = {c for _, _, c in late}
+            long = self._encode([c for c in missing if len(c) > CHUNK_MOST])
+            self._learn(missing.difference(long))
+            for g, at, c in late:
+                g[at] = long[c] if c in long else self.new[c]
+            for k, g in enumerate(got, lo):
+                yield self._whole(texts[k]) if g is None else b"".join(g)
 
 
 def tokenizer_of(definition: str) -> ChunkTokenizer:
@@ -185,50 +235,70 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pat
     """Sequences that some best packing has, and the counts that are left."""
     left, fixed = {k: n for k, n in counts.items() if n}, []
 
-    def take(*lengths: int) -> None:
-        n = left[lengths[0]] // 2 if len(lengths) == 2 and lengths[0] == lengths[1] else min(left[x] for x in lengths)
+    def take(*lengths: int) -> bool:
+        inside = tuple(sorted(((x, lengths.count(x)) for x in set(lengths)), reverse=True))
+        n = min(left.get(x, 0) // q for x, q in inside)
         if n:
-            inside = ((lengths[0], 2),) if len(lengths) == 2 and lengths[0] == lengths[1] else tuple((x, 1) for x in lengths)
             fixed.append((inside, n))
             for x, q in inside:
                 left[x] -= q * n
                 if not left[x]:
                     del left[x]
+        return n > 0
 
     for x in sorted(left, reverse=True):
         if x == capacity:
             take(x)
         elif capacity - x in left and x >= capacity - x and x in left:
             take(x, capacity - x)
-    while left:
-        x = max(left)
-        rest, others = capacity - x, sorted(k for k in left if k != x or left[k] > 1)
-        fits = others[: bisect_left(others, rest + 1)]
-        if not fits:
-            take(x)
-            continue
-        best = fits[-1]
-        ones = sum(1 << k for k in fits)
-        sums, grown = 0, ones
-        while grown & ~sums:  # all sums up to rest of two and more of the lengths that fit
-            fresh, sums, more = grown & ~sums, sums | grown, 0
-            while fresh:
-                low = (fresh & -fresh).bit_length() - 1
-                fresh &= fresh - 1
-                more |= ones << low
-            grown = more & ((1 << (rest + 1)) - 1)
-            two = grown if sums == ones else two | grown
-            if two >> (best + 1):
-                break
-        if two >> (best + 1):
-            break
-        before = left[x]
-        take(x, best)
-        if left.get(x) == before:
-            break
+    again = True
+    while again:
+        again = False
+        for x in sorted(left, reverse=True):
+            while x in left and (best := _dominating(left, x, capacity)) is not None and take(x, *best):
+                again = True
     return fixed, left
 
 
+def _dominating(left: dict[int, int], x: int, capacity: int) -> tuple[int, ...] | None:
+    """Lengths beside one piece of length x that dominate all others; None where none of at most two do."""
+    rest, own = capacity - x, {k: n - (k == x) for k, n in left.items()}
+    fits = sorted(k for k, n in own.items() if n and k <= rest)
+    if not fits:
+        return ()
+    best = fits[-1]
+    if best == rest or not _sums_above(fits, best, rest):
+        return (best,)
+    smallest = [k for k in fits[:3] for _ in range(min(own[k], 3))][:3]
+    if len(smallest) == 3 and sum(smallest) <= rest:
+        return None
+    # at most two fit: the longest and the longest beside it, if no pair has a longer smaller piece
+    beside = [k for k in fits if k <= rest - best and (k != best or own[k] > 1)]
+    if not beside:
+        return None
+    lesser = max((b for b in fits for a in (b, *fits[bisect_left(fits, b) + 1 :][:1]) if a + b <= rest and (a != b or own[b] > 1)), default=0)
+    return (best, beside[-1]) if beside[-1] >= lesser else None
+
+
+def _sums_above(fits: list[int], best: int, rest: int) -> bool:
+    """Whether two or more of the lengths that fit, repeats allowed, sum to more than best and at most rest."""
+    ones, most = sum(1 << k for k in fits), (1 << (rest + 1)) - 1
+    some = grown = 0
+    for k in fits:
+        grown |= ones << k
+    grown &= most
+    while grown & ~some:
+        if grown >> (best + 1):
+            return True
+        fresh, some, more = grown & ~some, some | grown, 0
+        while fresh:
+            low = (fresh & -fresh).bit_length() - 1
+            fresh &= fresh - 1
+            more |= ones << low
+        grown = more & most
+    return False
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Best fit, longest first, of equal pieces at a time."""
     open_at: dict[int, list[list]] = {}  # room -> [inside, how many]
