@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -44,11 +45,12 @@ def case():
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [nearcopies.BLOCK, 4])
-def test_components_are_those_of_all_pairs(spark, case, block, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BLOCK", block)
+@pytest.mark.parametrize(("block", "hot"), [(nearcopies.BLOCK_ROWS, nearcopies.HOT), (4, 1000), (8, 6)])
+def test_components_are_those_of_all_pairs(spark, case, block, hot, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", block)
+    monkeypatch.setattr(nearcopies, "HOT", hot)
     want = brute([t for _, t in case])
-    root = {r.doc_id: r.root for r in near_copies(spark.createDataFrame(case, "doc_id bigint, text string"), sample=30).collect()}
+    root = {r.doc_id: r.root for r in near_copies(spark.createDataFrame(case, "doc_id bigint, text string")).collect()}
     groups = {}
     for d, t in root.items():
         groups.setdefault(t, []).append(d)
@@ -56,6 +58,23 @@ def test_components_are_those_of_all_pairs(spark, case, block, monkeypatch):
     assert len(groups) < len(case)
 
 
+def test_fingerprints_are_majorities_and_bits_follow_similarity():
+    r = random.Random(2)
+    one = nearcopies.shingles(" ".join(f"w{r.randrange(9999)}" for _ in range(304)).encode())
+    other = nearcopies.shingles(" ".join(f"v{r.randrange(9999)}" for _ in range(36)).encode())
+    two = np.sort(np.concatenate([one[:-33], other[:30]]))
+    f = nearcopies.fingerprints([one, np.empty(0, np.uint64), two])
+    assert not f[1].any()
+    for bit in (0, 17, 63):
+        assert bool(f[0, 0] >> np.uint64(bit) & np.uint64(1)) == (2 * int((one >> np.uint64(bit) & np.uint64(1)).sum()) > len(one))
+    assert 0 < np.bitwise_count(f[0] ^ f[2]).sum() <= nearcopies.MAX_BITS
+    assert np.bitwise_count(f[0] ^ nearcopies.fingerprints([other])[0]).sum() > nearcopies.MAX_BITS
+
+
+def test_empty_table_gives_no_rows(spark):
+    assert near_copies(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
 def test_stage_drops_copies_that_three_bits_miss(spark):
     docs = load(spark, "/root/testdata/sf0.01", "documents").where("doc_id in (2, 56, 3)")
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [2, 3]

@@ -6,8 +6,8 @@ from collections import Counter
 import corpus_pipeline
 from tidemark.llm import quality
 from tidemark.llm.common import load
-from tidemark.llm.simhash import near_duplicates
 from tests.llm.test_decontaminate import brute as leaks
+from tests.llm.test_nearcopies import brute as copies
 from tests.llm.test_packing import check_placement
 from tests.llm.test_pii import brute as personal
 
@@ -21,8 +21,9 @@ def test_stages(spark, sf):
     weights = quality.model_for(docs, load(spark, sf, "labels"))
     accepted = {r.doc_id for r in quality.score(docs, weights).collect() if r.score >= quality.THRESHOLD}
     assert {r.doc_id for r in results["quality"].collect()} == accepted
-    groups = near_duplicates(results["quality"]).collect()
-    assert sorted(r.doc_id for r in results["dedup"].collect()) == sorted({r.component_id for r in groups})
+    before = sorted(results["quality"].select("doc_id", "text").collect())
+    roots = copies([r.text for r in before])
+    assert sorted(r.doc_id for r in results["dedup"].collect()) == sorted({before[k].doc_id for k in roots})
     items = [(r.item_id, r.text) for r in load(spark, sf, "benchmark").collect()]
     before, after = (results[n].collect() for n in ("dedup", "decontaminate"))
     dirty = {b[0] for b in leaks([(r.doc_id, r.text) for r in before], items) if b[5]}

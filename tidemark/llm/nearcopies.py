@@ -1,22 +1,29 @@
-"""Near copies: all pairs of texts whose word-shingle sets have Jaccard similarity 0.8 or more.
-
-Texts of equal shingle sets are one node. Pairs are found by the prefix rule: in any one
-order of all shingles, two sets of similarity s or more share a shingle among the first
-n - ceil(s n) + 1 of each. The order puts shingles frequent in a sample of the texts last,
-which only makes groups smaller; whatever the sample, no pair is lost. In a group (nodes
-with a common prefix shingle) a pair is dropped when its sizes or bitmaps rule the
-similarity out: a bit of one bitmap missing from the other is at least one shingle that
-the other set lacks. What is left is compared shingle by shingle and linked only at
-`SIMILARITY` or more.
-
-Pairs inside a component need no test, so groups are read twice: first each node is
-tested with the node before it that looks closest, then, with the components of these
-links known, every remaining pair across two components is. The result has the
-components of all pairs.
+"""Near copies: texts whose word-shingle sets have Jaccard similarity 0.8 or more, found by
+SimHash fingerprints in tries and verified shingle by shingle.
+
+Texts of equal shingle sets are one node, with a fingerprint of 128 bits: the majority of
+two 64-bit hashes of each shingle. Sets of similarity 0.8 differ in a seventh of the bits at
+random, far below `MAX_BITS`. Nodes meet in groups: each is dealt to the `KEYS` smallest of
+its shingle hashes. In one order of all hashes every hash of a union is shared with
+probability s, so two sets of similarity s meet nowhere with probability (1 - s)**KEYS; sets
+of up to `KEYS` shingles always meet. Groups are read twice:
+
+1. each node is held against one leader of each of its groups, and the closest is verified:
+   a plain aggregation and join, whatever a group's size. Components of these links follow;
+2. in each group that spans two components or more, the nodes outside the largest visit all
+   others: the fingerprints of a block are joined as a binary trie, pairs of one component
+   are left out, and the rest are verified. Large groups are split into blocks of
+   `BLOCK_ROWS`, each with the group's visitors, so no task holds a large group.
+
+A key shared by more than `HOT` nodes (a passage that many texts repeat) does not gather
+texts that have enough keys of their own: a node with `COLD` keys below that size leaves
+such groups, since a near copy of it would share one of those. At a similarity of exactly
+0.8 this and the keys together lose a link with probability 3e-6, less above it; nothing
+else is left out, and links are only made at `SIMILARITY` or more, by exact counts.
 
 Defined cases: null, empty and blank texts have the empty set and are one node; fewer
 words than a shingle make one shingle of all of them; null and repeated doc_ids are rows
-like any other. Texts are read whole.
+like any other; extra columns pass through. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,20 +33,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, remove, utf8
+from tidemark.llm.common import materialise, remove, runs, utf8
 from tidemark.llm.graph import components
-from tidemark.llm.simhash import keep_found, text_hash
+from tidemark.llm.simhash import keep_found, text_hash, trie_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 43
-MAP_BYTES = 128
-SAMPLE, FREQUENT, LEAST = 8_000, 65_536, 3
-BLOCK = 1 << 18
+KEYS = 16
+MAX_BITS, SMALL_BITS, SMALL = 38, 44, 16  # of 128; the second where a set has at most SMALL shingles
+HOT, COLD = 512, 12
+BLOCK_ROWS = 1024
+CHUNK_BYTES = 1 << 19
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,18 +58,28 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     if len(words) <= shingle:
         parts = [b" ".join(words)] if words else []
     else:
-        parts = {b" ".join(s) for s in zip(*(words[i:] for i in range(shingle)), strict=False)}
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), dtype=np.uint64, count=len(parts)))
+        parts = [b" ".join(s) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(p, SEED) for p in parts], dtype=np.uint64))
 
 
 def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(MAP_BYTES * 8, dtype=np.uint8)
-    bits[(hashes >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
-    return np.packbits(bits).tobytes()
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit words of majority bits for each set."""
+    out = np.zeros((len(sets), 2), dtype=np.uint64)
+    counts = np.array([len(s) for s in sets], dtype=np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        h = np.concatenate(sets)
+        second = h * _ODD
+        second = (second ^ (second >> np.uint64(29))) * _ODD
+        bits = np.unpackbits(np.stack([h, second ^ (second >> np.uint64(32))], axis=1).astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(sums * 2 > counts[some][:, None], axis=1, bitorder="little").view("<u8")
+    return out
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,132 +87,78 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-4 * (a + b) // 9)
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    n = len(hashes)
-    weight = np.zeros(n, dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        weight = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, weight))[: n - -(-4 * n // 5) + 1]]
-
-
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
-def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, node, n, map of every row."""
+_NODE = "n int, f bigint, g bigint, keys array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, n, maps = [], [], []
-            for t in utf8(b.column(2)):
-                h = shingles(t, shingle)
-                node.append(node_of(h)), n.append(len(h)), maps.append(bitmap(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_signed(np.array(node, dtype=np.uint64))), pa.array(n, pa.int32()), pa.array(maps, pa.binary())], names=["doc_id", "text_hash", "node", "n", "map"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("text_hash bigint, node bigint, n int, map binary").fields])
-    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, schema)
-
-
-def _explode(docs: DataFrame, pick, shingle: int) -> DataFrame:
-    """key, node of the shingles that pick takes of each text's set; a node can come from several tasks."""
+def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, node, n (shingles), f and g (fingerprint) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for b in batches:
-            if len(done) > 1_000_000:
-                done.clear()
-            for lo in range(0, b.num_rows, 256):
-                got, node = [], []
-                for t in utf8(b.column(0).slice(lo, 256)):
-                    h = shingles(t, shingle)
-                    if len(h) and (name := node_of(h)) not in done:
-                        done.add(name)
-                        got.append(pick(h))
-                        node.append(np.full(len(got[-1]), name, dtype=np.uint64))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(x))) for x in (got, node)], names=["key", "node"])
-
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
-
-
-def _groups(keys: DataFrame) -> DataFrame:
-    """key, node of the groups of two or more distinct nodes, those of the same nodes once.
-    The new key is a hash of the group's nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last = None
-        out: list[tuple[int, np.ndarray]] = []
-        seen: set[int] = set()
+            texts = utf8(b.column(2))
+            for lo, hi in runs([len(t) for t in texts], CHUNK_BYTES):
+                sets = [shingles(t, shingle) for t in texts[lo:hi]]
+                prints = fingerprints(sets).view(np.int64)
+                made = [
+                    pa.array(_signed(np.array([node_of(s) for s in sets], dtype=np.uint64))),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(prints[:, 0].copy()),
+                    pa.array(prints[:, 1].copy()),
+                    pa.array([_signed(s[:KEYS]) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in (b.column(0), b.column(1))] + made, names=["doc_id", "text_hash", "node", "n", "f", "g", "keys"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(f"text_hash bigint, node bigint, {_NODE}").fields])
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, schema)
 
-        def close() -> None:
-            node = np.unique(np.concatenate(held))
-            held.clear()
-            if len(node) > 1:
-                name = xxhash.xxh64_intdigest(node.tobytes(), SEED)
-                if name not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(name)
-                    out.append((name, node))
-
-        def flush() -> pa.RecordBatch:
-            key = np.repeat(np.array([k for k, _ in out], dtype=np.uint64), [len(n) for _, n in out])
-            node = np.concatenate([n for _, n in out])
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(node)], names=["key", "node"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if held and key[lo] != last:
-                    close()
-                last = key[lo]
-                held.append(node[lo:hi])
-            if out:
-                yield flush()
-        if held:
-            close()
-        if out:
-            yield flush()
-
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint").distinct()
-
-
-def group_pairs(node: np.ndarray, n: np.ndarray, maps: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions of a group's nodes (sorted) that sizes and bitmaps do not rule out:
-    without roots the closest earlier node of each, with roots all of different roots."""
-    words = maps.view(np.uint64)
-    step = max(1, BLOCK // len(node))
-    for lo in range(0, len(node), step):
-        hi = min(len(node), lo + step)
-        i, j = np.arange(lo, hi)[:, None], np.arange(hi)[None, :]
-        missed = np.zeros((hi - lo, hi), dtype=np.int64)  # of the row's shingles in the column's set, and back
-        back = np.zeros((hi - lo, hi), dtype=np.int64)
-        for k in range(words.shape[1]):
-            a, b = words[lo:hi, k][:, None], words[:hi, k][None, :]
-            missed += np.bitwise_count(a & ~b)
-            back += np.bitwise_count(b & ~a)
-        common = np.minimum(n[i] - missed, n[j] - back)
-        may = (j < i) & (common >= needed(n[i], n[j]))
-        if root is not None:
-            may &= root[i] != root[j]
-            at = np.nonzero(may)
-            yield at[0] + lo, at[1]
-        else:
-            gap = np.where(may, missed + back, np.iinfo(np.int64).max)
-            best = gap.argmin(1)
-            some = may[np.arange(hi - lo), best]
-            yield np.flatnonzero(some) + lo, best[some]
-
-
-def _pairs(rows: DataFrame, rooted: bool) -> DataFrame:
-    """Distinct a, b from rows (key, node, n, map[, root])."""
+def _near(n: Column, m: Column, bits: Column) -> Column:
+    """Whether sizes and fingerprint bits allow the similarity."""
+    return (n * 5 >= m * 4) & (m * 5 >= n * 4) & (bits <= F.when(F.least(n, m) <= SMALL, SMALL_BITS).otherwise(MAX_BITS))
+
+
+def _with_leaders(groups: DataFrame) -> DataFrame:
+    """a, b: each node and the closest leader of its groups that is near enough."""
+    bits = F.bit_count(F.col("f").bitwiseXOR(F.col("leader.f"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("leader.g")))
+    held = groups.where("node <> leader.node").select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"), bits.cast("int").alias("bits"))
+    best = held.where(_near(F.col("n"), F.col("m"), F.col("bits"))).groupBy("node").agg(F.min(F.struct("bits", "to")).alias("best"))
+    return best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct()
+
+
+def block_pairs(n: np.ndarray, f: np.ndarray, g: np.ndarray, root: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of near pairs of different roots, one of the two at least the block's own."""
+    order = np.argsort(f)
+    n, root, own = n[order], root[order], own[order]
+    for i, j in trie_links(f[order], SMALL_BITS, wide=g[order]):
+        least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        may = (root[i] != root[j]) & (own[i] | own[j]) & (least * 5 >= most * 4)
+        i, j = i[may], j[may]
+        if len(i):
+            x, y = order[i], order[j]
+            bits = np.bitwise_count(f[x] ^ f[y]).astype(np.int64) + np.bitwise_count(g[x] ^ g[y])
+            near = bits <= np.where(np.minimum(n[i], n[j]) <= SMALL, SMALL_BITS, MAX_BITS)
+            yield x[near], y[near]
+
+
+def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct a, b: near pairs of a group in different components."""
+    hot = groups.where(F.col("size") > HOT).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
+    cold = F.least("n", F.lit(KEYS)) - F.coalesce("hot", F.lit(0))
+    leaves = (F.col("size") > HOT) & ((cold >= COLD) | ((F.col("n") <= KEYS) & (cold * 5 > F.col("n"))))
+    placed = groups.join(roots.withColumnsRenamed({"node": "k"}), F.col("node") == F.col("k"), "left").join(hot, "node", "left").where(~leaves)
+    placed = materialise(placed.select("key", "node", "n", "f", "g", F.coalesce("root", "node").alias("root")), "placed")
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    rows = placed.join(mixed.select("key", F.col("most.root").alias("main"), blocks.alias("blocks")), "key")
+    rows = rows.withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.when((F.col("root") == F.col("main")) | (F.col("blocks") == 1), F.array("spot")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.select(F.col("key"), F.explode(to).alias("block"), "spot", "node", "n", "f", "g", "root")
+    dealt = dealt.select("key", "block", (F.col("block") == F.col("spot")).alias("own"), "node", "n", "f", "g", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -201,31 +167,27 @@ def _pairs(rows: DataFrame, rooted: bool) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             held.clear()
-            if t.num_rows < 2:
-                return
-            node, n = t.column("node").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-            maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint8).reshape(-1, MAP_BYTES)
-            root = t.column("root").to_numpy() if rooted else None
-            if rooted and (root == root[0]).all():
-                return
-            for i, j in group_pairs(node, n, maps, root):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[j]), pa.array(node[i])], names=["a", "b"])
+            node, n, f, g, root = (t.column(c).to_numpy() for c in ("node", "n", "f", "g", "root"))
+            own = t.column("own").to_numpy(zero_copy_only=False)
+            if len(node) > 1 and (root != root[0]).any():
+                for i, j in block_pairs(n.astype(np.int64), f.view(np.uint64), g.view(np.uint64), root, own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key = b.column(0).to_numpy()
-            cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = (np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1).tolist()
             for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if held and key[lo] != last:
+                here = (int(key[lo]), int(block[lo]))
+                if held and here != last:
                     yield from close()
-                last = key[lo]
+                last = here
                 held.append(b.slice(lo, hi - lo))
         if held:
             yield from close()
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -260,33 +222,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, root (a node that names the component) of every row."""
     rows = materialise(_nodes(docs, shingle), "rows")
-    nodes = materialise(rows.select("node", "n", "map").dropDuplicates(["node"]), "nodes")
-    share = max(1, -(-rows.count() // sample))
-    some = docs.where(F.pmod(text_hash(), F.lit(share)) == 0)
-    seen = _explode(some, lambda h: h, shingle).groupBy("key").count().where(F.col("count") >= LEAST)
-    often = sorted((r.key % (1 << 64), r["count"]) for r in seen.orderBy(F.desc("count"), "key").limit(FREQUENT).collect())
-    known = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in often], np.uint64), np.array([n for _, n in often], np.int64)))
-    groups = materialise(_groups(_explode(docs, lambda h: prefix(h, *known.value), shingle)), "groups")
-
-    def tested(members: DataFrame, rooted: bool, label: str) -> DataFrame:
-        pairs = materialise(_pairs(members.join(nodes, "node").select("key", "node", "n", "map", *(["root"] if rooted else [])), rooted), "pairs")
+    nodes = rows.where("n > 0").select("node", "n", "f", "g", "keys").dropDuplicates(["node"])
+    dealt = materialise(nodes.select(F.explode("keys").alias("key"), "node", "n", "f", "g"), "dealt")
+    chosen = F.min_by(F.struct("node", "n", "f", "g"), F.xxhash64("node", "key"))
+    leaders = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), chosen.alias("leader")).where("size > 1")
+    groups = materialise(dealt.join(leaders, "key"), "groups")
+    _drop(dealt)
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
         sets = materialise(_sets(docs, rows, pairs, shingle), "sets")
         out = materialise(_verified(pairs, sets), label)
-        for path in {f.rsplit("/", 1)[0] for f in sets.inputFiles()}:
-            remove(docs.sparkSession, path)
+        _drop(sets)
         return out
 
-    links = tested(groups, False, "links")
+    links = verified(_with_leaders(groups), "links")
     first = materialise(components(links), "first")
-    placed = groups.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    more = tested(placed, True, "more")
+    more = verified(_across(groups, first), "more")
+    _drop(groups)
     found = first if more.isEmpty() else components(links.unionByName(more))
     return rows.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
+def _drop(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies, chosen as simhash.keep_one does."""
     return keep_found(docs, materialise(near_copies(docs), "found"))

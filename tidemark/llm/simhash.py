@@ -65,8 +65,9 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def trie_links(points: np.ndarray, most: int = MAX_BITS, leaf: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into sorted, distinct uint64 points) within `most` differing bits.
+def trie_links(points: np.ndarray, most: int = MAX_BITS, leaf: int = 4096, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into sorted uint64 points) within `most` differing bits. `wide` holds the
+    second 64 bits of longer fingerprints, which count too; the trie is over the first.
 
     A trie node is a range of the sorted points with a common prefix. Node pairs carry
     the differing bits so far; one over the budget is dropped, and one of at most `leaf`
@@ -78,7 +79,7 @@ def trie_links(points: np.ndarray, most: int = MAX_BITS, leaf: int = 4096) -> It
         area = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         done = (area <= leaf) | (bit < 0)
         if done.any():
-            yield from _leaves(points, pairs[done], most)
+            yield from _leaves(points, pairs[done], most, wide)
         pairs = pairs[~done]
         if not len(pairs):
             continue
@@ -103,7 +104,7 @@ def trie_links(points: np.ndarray, most: int = MAX_BITS, leaf: int = 4096) -> It
         todo.append((kids[(kids[:, 0] < kids[:, 1]) & (kids[:, 2] < kids[:, 3]) & (kids[:, 4] <= most)], bit - 1))
 
 
-def _leaves(points: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaves(points: np.ndarray, pairs: np.ndarray, most: int, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for lo in range(0, len(pairs), 256):
         a0, a1, b0, b1, _ = pairs[lo : lo + 256].T
         na, nb = a1 - a0, b1 - b0
@@ -111,7 +112,8 @@ def _leaves(points: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tuple[
         which = np.repeat(np.arange(len(area)), area)
         k = np.arange(area.sum()) - np.repeat(np.cumsum(area) - area, area)
         i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
-        near = (i < j) & (np.bitwise_count(points[i] ^ points[j]) <= most)
+        apart = np.bitwise_count(points[i] ^ points[j])
+        near = (i < j) & ((apart if wide is None else apart + np.bitwise_count(wide[i] ^ wide[j])) <= most)
         if near.any():
             yield i[near], j[near]
 
