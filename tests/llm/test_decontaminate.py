@@ -77,3 +77,15 @@ def test_empty_tables(spark, case):
     assert all(r.n_items == 0 and not r.contaminated for r in digest(find_windows(frame, nothing)).collect())
     assert digest(find_windows(frame.limit(0), spark.createDataFrame(items, ITEMS))).count() == 0
     assert decontaminate(frame, nothing).count() == len(docs)
+
+
+def test_cuts_of_several_passes_reach_a_fixpoint(spark):
+    one, two = ([f"{c}{k}" for k in range(16)] for c in "pq")
+    items = [(1, " ".join(one)), (2, " ".join(two))]
+    text = " ".join([*one[:4], *two[:10], *one[4:12], "end"])  # cutting item 2 joins a window of item 1 and so on
+    text = " ".join([*two[:3], *text.split(), "x", *one[:2], *two[2:12], *one[2:9]])
+    docs = [(k, text, "x", 1) for k in range(3)]
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    for limit in (16 << 20, 10):
+        rows = decontaminate(frame, bench, remove="spans", max_pass_bytes=limit).collect()
+        assert len(rows) == 3 and all(b[2] == 0 for b in brute([(r.doc_id, r.text) for r in rows], items))

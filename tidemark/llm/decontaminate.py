@@ -5,9 +5,12 @@ Words are maximal runs of ASCII letters and digits and of non-ASCII characters,
 lower-cased. An item with n or more words gives all its windows of n words; a shorter
 one, but not an empty one, is a single window.
 
-The window set is broadcast. Its size is checked: a pass holds at most
-`max_pass_bytes` of item text, and a larger benchmark is scanned in several passes
-whose findings are joined per text, so what is broadcast never grows with the data.
+The window set is broadcast: arrays of window hashes, word ids and items, about 60 bytes a
+window. Its size is checked: a pass holds at most `max_pass_bytes` of item text, and a
+larger benchmark is scanned in several passes, one after the other, each written before
+the next set is made. So what is held and broadcast at a time never grows with the data.
+Cutting goes round all passes until none finds a window: what one pass's cut joins may be
+a window of another.
 
 Defined cases: a null or wordless text has no words and no hits; a null item_id or a
 wordless item is ignored; items that share an id count once; repeated rows give
@@ -23,13 +26,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, runs, utf8
+from tidemark.llm.common import load, materialise, runs, utf8
 
 WINDOW = 8
-MAX_PASS_BYTES = 16 << 20
+MAX_PASS_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 _KEEP = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(x if x in _KEEP else 32 for x in bytes(range(256)).lower())
@@ -46,13 +50,22 @@ class WindowSet:
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.names = sorted({item for item, _ in items})
+        index, found = {x: k for k, x in enumerate(self.names)}, {}
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.by_size = {size: (windows, np.unique(_mix(np.array(list(windows), dtype=np.uint64)))) for size, windows in found.items()}
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], dtype=np.int32)
+            if size := min(n, len(ids)):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                found.setdefault(size, []).append((rows, np.full(len(rows), index[item], dtype=np.int32)))
+        #: by length: hashes, word ids, and starts into the items of each distinct window
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in found.items():
+            rows, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mixed = _mix(rows.astype(np.uint64))
+            order = np.lexsort((owner, *rows.T, mixed))
+            rows, owner, mixed = rows[order], owner[order], mixed[order]
+            first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))))
+            self.by_size[size] = mixed[first], rows[first], np.append(first, len(rows)), owner
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, number of words, items) of every window in a sequence of word ids."""
@@ -60,18 +73,21 @@ class WindowSet:
         if not known.any():
             return
         seen = np.concatenate(([0], np.cumsum(known)))
-        for size, (windows, hashes) in self.by_size.items():
+        for size, (hashes, rows, starts, owner) in self.by_size.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(seen[size:] - seen[:-size] == size)
             if not len(at):
                 continue
             mixed = _mix(ids[at[:, None] + np.arange(size)].astype(np.uint64))
-            place = np.minimum(np.searchsorted(hashes, mixed), len(hashes) - 1)
-            for i in at[hashes[place] == mixed].tolist():
-                items = windows.get(tuple(ids[i : i + size].tolist()))
-                if items is not None:
-                    yield i, size, items
+            place = np.searchsorted(hashes, mixed)
+            some = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == mixed)
+            for i, k, m in zip(at[some].tolist(), place[some].tolist(), mixed[some], strict=True):
+                while k < len(hashes) and hashes[k] == m:
+                    if (rows[k] == ids[i : i + size]).all():
+                        yield i, size, {self.names[x] for x in owner[starts[k] : starts[k + 1]].tolist()}
+                        break
+                    k += 1
 
 
 def _mix(rows: np.ndarray) -> np.ndarray:
@@ -109,21 +125,31 @@ def scan(texts: list[bytes], index: WindowSet) -> Iterator[tuple[int, list[tuple
 _FOUND = "n_words bigint, ranges array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-def _passes(benchmark: DataFrame, n: int, max_pass_bytes: int) -> Iterator[WindowSet]:
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("item is not null and t is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("item") + 64), F.lit(0))).first()[0]
-    count = max(1, -(-size // max_pass_bytes))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("item is not null and t is not null")
+
+
+def _pass_count(benchmark: DataFrame, max_pass_bytes: int) -> int:
+    size = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("item") + 64), F.lit(0))).first()[0]
+    return max(1, -(-size // max_pass_bytes))
+
+
+def _passes(benchmark: DataFrame, n: int, count: int) -> Iterator[Broadcast]:
+    """The window set of each pass, broadcast while it is in use."""
+    rows = _items(benchmark)
     for k in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item", "t"), F.lit(count)) == k)
-        yield WindowSet([(r.item, r.t.encode()) for r in part.toLocalIterator()], n)
+        held = benchmark.sparkSession.sparkContext.broadcast(WindowSet([(r.item, r.t.encode()) for r in part.toLocalIterator()], n))
+        yield held
+        if count > 1:
+            held.unpersist()
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_pass_bytes: int = MAX_PASS_BYTES) -> DataFrame:
     """doc_id, n_words, ranges (merged hit word ranges, end exclusive) and items of each row of docs."""
-    spark, base = docs.sparkSession, docs.select("doc_id", "text")
+    base, count = docs.select("doc_id", "text"), _pass_count(benchmark, max_pass_bytes)
 
-    def one(index: WindowSet, frame: DataFrame, keys: list[str]) -> DataFrame:
-        held = spark.sparkContext.broadcast(index)
+    def one(held: Broadcast, frame: DataFrame, keys: list[str]) -> DataFrame:
         # an Arrow stream of records: key columns, then what was found
         kinds = frame.schema
 
@@ -140,13 +166,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_pas
         heads = ", ".join(f"{k} {kinds[k].dataType.simpleString()}" for k in keys)
         return frame.mapInArrow(run, f"{heads}, {_FOUND}")
 
-    sets = list(_passes(benchmark, n, max_pass_bytes)) if max_pass_bytes >= MAX_PASS_BYTES else None
-    if sets is not None and len(sets) == 1:
-        return one(sets[0], base, ["doc_id"])
+    if count == 1:
+        return one(next(_passes(benchmark, n, 1)), base, ["doc_id"])
     keyed = base.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     found, counts = None, keyed
-    for index in sets if sets is not None else _passes(benchmark, n, max_pass_bytes):
-        part = one(index, keyed, ["doc_id", "text_hash"])
+    for held in _passes(benchmark, n, count):
+        part = materialise(one(held, keyed, ["doc_id", "text_hash"]), "pass")
         if found is None:
             counts = part.select("doc_id", "text_hash", "n_words")
         part = part.where(F.size("items") > 0).dropDuplicates(["doc_id", "text_hash"])
@@ -181,38 +206,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_it
     items or more go), with the hit words cut out of their texts (remove="spans": again
     until no window is left), or both: rows of min_items items go, the others' hits are cut.
     All columns stay; n_chars, where there is one, follows the text. A benchmark above
-    max_pass_bytes is applied pass by pass for spans and joined per text for documents."""
+    max_pass_bytes is applied pass by pass: items are joined per text, spans are cut round
+    and round."""
     if remove not in ("documents", "spans", "both"):
         raise ValueError(f"remove is {remove!r}, not documents, spans or both")
-    spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(x) for x in _passes(benchmark, n, max_pass_bytes)]
-    if len(sets) > 1 and remove != "spans":
-        hash_of = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-        bad = None
-        for held in sets:
-            part = _items_of(docs, held)
-            bad = part if bad is None else bad.unionByName(part)
-        bad = bad.groupBy("k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n")).where(F.col("n") >= min_items).select("k")
-        docs = docs.join(bad, hash_of == bad["k"], "left_anti")
-        if remove == "documents":
-            return docs
-        remove = "spans"
-    out = docs
-    for held in sets:
+    count = _pass_count(benchmark, max_pass_bytes)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def cut(held: Broadcast, frame: DataFrame, drop: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.schema.get_field_index("text")
                 texts = utf8(b.column(at))
                 got = list(scan(texts, held.value))
-                if remove != "spans":
+                if drop:
                     stays = [len(g[2]) < min_items for g in got]
                     b = b.filter(pa.array(stays, pa.bool_()))
                     texts, got = ([x for x, s in zip(xs, stays, strict=True) if s] for xs in (texts, got))
                 yield b if remove == "documents" else _cut(b, at, texts, got, held.value)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return frame.mapInArrow(run, docs.schema)
+
+    if count == 1:
+        return cut(next(_passes(benchmark, n, 1)), docs, remove != "spans")
+    if remove != "spans":
+        bad = None
+        for held in _passes(benchmark, n, count):
+            part = materialise(_items_of(docs, held), "items")
+            bad = part if bad is None else bad.unionByName(part)
+        bad = bad.groupBy("k").agg(F.size(F.array_distinct(F.flatten(F.collect_list("items")))).alias("n")).where(F.col("n") >= min_items).select("k")
+        docs = docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["k"], "left_anti")
+        if remove == "documents":
+            return docs
+    again = True
+    while again:
+        again = False
+        for held in _passes(benchmark, n, count):
+            if not _items_of(docs, held).isEmpty():
+                docs, again = materialise(cut(held, docs, False), "cut"), True
+    return docs
 
 
 def _cut(b: pa.RecordBatch, at: int, texts: list[bytes], got: list, index: WindowSet) -> pa.RecordBatch:
