@@ -1,11 +1,13 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm.common import load
-from tidemark.llm.pii import KINDS, Field, base_spans, digest, find, fit, op8_pii, redact, redacted, spans_of, train
+from tidemark.llm.pii import KINDS, LABELS, Field, Mentions, base_spans, digest, find, fit, op8_pii, redact, redacted, spans_of, train
 
 DOCS = "doc_id bigint, text string, spans string, n_chars bigint"
 
@@ -64,6 +66,40 @@ def test_likes_of_a_base_span_are_added(spark, case):
     assert alone == []
 
 
+def test_marginals_are_those_of_all_labellings_on_a_tree():
+    r = np.random.default_rng(4)
+    field = Field(r.normal(size=(12, LABELS)), np.exp(r.normal(size=(LABELS, LABELS))), np.exp(r.normal(size=(LABELS, LABELS))))
+    m = Mentions()
+    m.doc, m.span, m.label, m.shape = [0] * 4, [(0, 1)] * 4, [2, LABELS - 1, LABELS - 1, LABELS - 1], [[0, 2], [0, 3, 7], [0, 4], [0, 5, 9]]
+    m.chain, m.skip = [(0, 1), (1, 2)], [(1, 3)]
+    p = np.zeros((4, LABELS))
+    for y in itertools.product([2], range(LABELS), range(LABELS), range(LABELS)):
+        weight = np.prod([np.exp(field.unary[m.shape[i], y[i]].sum()) for i in (1, 2, 3)])
+        weight *= np.prod([field.chain[y[a], y[b]] for a, b in m.chain]) * field.skip[y[1], y[3]]
+        p[range(4), y] += weight
+    assert np.allclose(field.marginals(m), p / p.sum(1, keepdims=True), atol=0.02)
+
+
+def test_planted_repeats_are_found_and_decoys_are_left(spark):
+    r = random.Random(8)
+    docs, truth, decoys = [], {}, {}
+    for k in range(60):
+        number = f"{r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+        decoy = str(r.randrange(10**15, 10**16))
+        while luhn(decoy):
+            decoy = str(int(decoy) + 1)
+        text = f"call +1 ({number} now " + " ".join("w" for _ in range(r.randint(1, 9))) + f" or ({number} and not {decoy}"
+        docs.append((k, text, "x", 1))
+        truth[k], decoys[k] = text.rindex(number), text.index(decoy)
+    frame = spark.createDataFrame(docs, DOCS)
+    rows = find(frame, train(frame)).collect()
+    added = {(x.doc_id, s.start) for x in rows for s in x.spans} - {(x.doc_id, s.start) for x in rows for s in x.base}
+    right = {(k, at) for k, at in truth.items()}
+    assert len(added & right) >= 0.9 * len(right)
+    assert len(added & right) >= 0.9 * len(added)
+    assert not added & set(decoys.items())
+
+
 def test_digest(spark, case):
     docs = spark.createDataFrame(case, DOCS)
     rows = digest(docs, train(docs)).collect()

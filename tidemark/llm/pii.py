@@ -16,7 +16,9 @@ is among its likes; base spans always stay.
 
 Potentials are fitted piecewise (unary, chain and skip factors each on their own) with
 the base spans as distant labels, on at most `SAMPLE` documents, those with the smallest
-hash of their id among the ones that have a digit or an @.
+hash of their id among the ones that have a digit or an @. A mention without a base span
+that has one among its likes is what the field is to decide: its label is not known, and
+it and its links are left out of the fit.
 
 Defined cases: a null text is empty and has no spans (its digest is that of the empty
 string); repeated and null doc_ids give a row each; spans of different kinds may overlap;
@@ -226,14 +228,19 @@ class Field:
 def fit(shapes: list[list[int]], labels: list[int], chain: list[tuple[int, int]], skip: list[tuple[int, int]], steps: int = 300) -> Field:
     """Piecewise fit: softmax regression, and smoothed pair counts over those of independence."""
     y = np.array(labels, dtype=np.int64)
+    known = np.ones(len(y), dtype=bool)
+    for a, b in skip:
+        if (y[a] < LABELS - 1) != (y[b] < LABELS - 1):
+            known[a if y[a] == LABELS - 1 else b] = False
+    chain, skip = ([(a, b) for a, b in edges if known[a] and known[b]] for edges in (chain, skip))
     unary = np.zeros((_SHAPES, LABELS))
-    if len(y):
-        x, want = _one_hot(shapes), np.eye(LABELS)[y]
+    if known.any():
+        x, want = _one_hot(shapes)[known], np.eye(LABELS)[y[known]]
         for _ in range(steps):
             z = x @ unary
             p = np.exp(z - z.max(1, keepdims=True))
-            unary -= 0.5 * (x.T @ (p / p.sum(1, keepdims=True) - want) / len(y) + 0.01 * unary)
-    share = (np.bincount(y, minlength=LABELS) + 1.0) / (len(y) + LABELS)
+            unary -= 0.5 * (x.T @ (p / p.sum(1, keepdims=True) - want) / len(x) + 0.01 * unary)
+    share = (np.bincount(y[known], minlength=LABELS) + 1.0) / (known.sum() + LABELS)
 
     def pairs(edges: list[tuple[int, int]], prior: np.ndarray) -> np.ndarray:
         counts = prior.copy()
