@@ -45,8 +45,19 @@ def case():
     return [(i, t) for i, t in enumerate(texts)]
 
 
+def test_common_counts_are_those_of_each_pair():
+    r = np.random.default_rng(3)
+    left, right = ([np.unique(r.integers(0, 900, 60, dtype=np.uint64)) for _ in range(k)] for k in (30, 20))
+    want = np.array([[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left])
+    every = np.ones(want.shape, bool)
+    assert (nearcopies.common_counts(left, right, every) == want).all()
+    few = r.random(want.shape) < 0.1
+    assert (nearcopies.common_counts(left, right, few)[few] == want[few]).all()
+
+
 @pytest.mark.parametrize(("block", "hot"), [(nearcopies.BLOCK_ROWS, nearcopies.HOT), (4, 1000), (8, 6)])
 def test_components_are_those_of_all_pairs(spark, case, block, hot, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SET_ROWS", min(block, nearcopies.SET_ROWS))
     monkeypatch.setattr(nearcopies, "BLOCK_ROWS", block)
     monkeypatch.setattr(nearcopies, "HOT", hot)
     want = brute([t for _, t in case])
