@@ -11,9 +11,12 @@ of up to `KEYS` shingles always meet. Groups are read twice:
 1. each node is held against one leader of each of its groups, and the closest is verified:
    a plain aggregation and join, whatever a group's size. Components of these links follow;
 2. in each group that spans two components or more, the nodes outside the largest visit all
-   others: the fingerprints of a block are joined as a binary trie, pairs of one component
-   are left out, and the rest are verified. Large groups are split into blocks of
-   `BLOCK_ROWS`, each with the group's visitors, so no task holds a large group.
+   others: the fingerprints of a block are joined as a binary trie, and near pairs of two
+   components leave the block as stars, never as pairs. Large groups are split into blocks
+   of `BLOCK_ROWS`, each with the group's visitors, so no task holds a large group. Sets of
+   nodes that these stars span go to one place, again by pairs of blocks where there are
+   many, and each near pair of two components is counted exactly there. Each block returns
+   stars of verified links, so no step writes a row for each pair of a group.
 
 A key shared by more than `HOT` nodes (a passage that many texts repeat) does not gather
 texts that have enough keys of their own: a node with `COLD` keys below that size leaves
@@ -28,7 +31,7 @@ like any other; extra columns pass through. Texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import materialise, remove, runs, utf8
 from tidemark.llm.graph import components
-from tidemark.llm.simhash import keep_found, text_hash, trie_links
+from tidemark.llm.simhash import hook, keep_found, text_hash, trie_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,7 +50,8 @@ SEED = 43
 KEYS = 16
 MAX_BITS, SMALL_BITS, SMALL = 38, 44, 16  # of 128; the second where a set has at most SMALL shingles
 HOT, COLD = 512, 12
-BLOCK_ROWS = 1024
+BLOCK_ROWS, SET_ROWS = 1024, 512
+COLUMNS = 4096
 CHUNK_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,7 +149,7 @@ def block_pairs(n: np.ndarray, f: np.ndarray, g: np.ndarray, root: np.ndarray, o
 
 
 def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct a, b: near pairs of a group in different components."""
+    """Stars a, b of near pairs of a group in different components."""
     hot = groups.where(F.col("size") > HOT).groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
     cold = F.least("n", F.lit(KEYS)) - F.coalesce("hot", F.lit(0))
     leaves = (F.col("size") > HOT) & ((cold >= COLD) | ((F.col("n") <= KEYS) & (cold * 5 > F.col("n"))))
@@ -160,45 +164,116 @@ def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
     dealt = rows.select(F.col("key"), F.explode(to).alias("block"), "spot", "node", "n", "f", "g", "root")
     dealt = dealt.select("key", "block", (F.col("block") == F.col("spot")).alias("own"), "node", "n", "f", "g", "root")
 
+    def near(t: pa.Table) -> pa.RecordBatch | None:
+        node, n, f, g, root = (t.column(c).to_numpy() for c in ("node", "n", "f", "g", "root"))
+        own = t.column("own").to_numpy(zero_copy_only=False)
+        if len(node) < 2 or (root == root[0]).all():
+            return None
+        parent = np.arange(len(node))
+        for i, j in block_pairs(n.astype(np.int64), f.view(np.uint64), g.view(np.uint64), root, own):
+            hook(parent, i, j)
+        return _star(node, parent)
+
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_by_group(near), "a bigint, b bigint").distinct()
+
+
+def _star(node: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    member = np.flatnonzero(parent != np.arange(len(parent)))
+    return pa.RecordBatch.from_arrays([pa.array(node[member]), pa.array(node[parent[member]])], names=["a", "b"])
+
+
+def _by_group(close: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by their first two columns: what close makes of each group of equal ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            node, n, f, g, root = (t.column(c).to_numpy() for c in ("node", "n", "f", "g", "root"))
-            own = t.column("own").to_numpy(zero_copy_only=False)
-            if len(node) > 1 and (root != root[0]).any():
-                for i, j in block_pairs(n.astype(np.int64), f.view(np.uint64), g.view(np.uint64), root, own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = (np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                here = (int(key[lo]), int(block[lo]))
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = (np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(x)], strict=True):
+                here = (int(x[lo]), int(y[lo]))
                 if held and here != last:
-                    yield from close()
+                    made = close(pa.Table.from_batches(held))
+                    held.clear()
+                    if made is not None:
+                        yield made
                 last = here
                 held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from close()
+        if held and (made := close(pa.Table.from_batches(held))) is not None:
+            yield made
 
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a bigint, b bigint").distinct()
+    return run
 
 
-def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """node, set of the nodes in pairs, read from one text each."""
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Shingles that each near pair of a left and a right set has in common; elsewhere anything."""
+    out = np.zeros(near.shape, dtype=np.int64)
+    i, j = np.nonzero(near)
+    if len(i) <= 4 * (len(left) + len(right)):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            out[x, y] = len(np.intersect1d(left[x], right[y], assume_unique=True))
+        return out
+    sides = [np.concatenate(s) for s in (left, right)]
+    both = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    owner, column = [], []
+    for flat, sets in zip(sides, (left, right), strict=True):
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        known = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        by = np.argsort(at[known], kind="stable")
+        owner.append(np.repeat(np.arange(len(sets)), [len(x) for x in sets])[known][by]), column.append(at[known][by])
+    for lo in range(0, len(both), COLUMNS):
+        hi, dense = min(len(both), lo + COLUMNS), []
+        for who, what, sets in zip(owner, column, (left, right), strict=True):
+            a, z = np.searchsorted(what, [lo, hi])
+            x = np.zeros((len(sets), hi - lo), dtype=np.float32)
+            x[who[a:z], what[a:z] - lo] = 1
+            dense.append(x)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """Stars a, b of verified links between members(cluster, node, n, f, g, root, set) of one
+    cluster and different roots."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / SET_ROWS).cast("int")
+    rows = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("cluster", "spot", "node", "n", "f", "g", "root", "set", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    both = F.least("spot", "other").cast("bigint") * F.col("blocks") + F.greatest("spot", "other")
+    dealt = rows.select("cluster", both.alias("both"), (F.col("spot") <= F.col("other")).alias("left"), (F.col("spot") >= F.col("other")).alias("right"), "node", "n", "f", "g", "root", "set")
+
+    def linked(t: pa.Table) -> pa.RecordBatch | None:
+        node, n, f, g, root = (t.column(c).to_numpy() for c in ("node", "n", "f", "g", "root"))
+        sides = [np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right")]
+        (i, j), n = sides, n.astype(np.int64)
+        if not len(i) or not len(j) or (root == root[0]).all():
+            return None
+        least, most = np.minimum.outer(n[i], n[j]), np.maximum.outer(n[i], n[j])
+        bits = np.bitwise_count(np.bitwise_xor.outer(f[i], f[j]).view(np.uint64)) + np.bitwise_count(np.bitwise_xor.outer(g[i], g[j]).view(np.uint64))
+        near = (root[i][:, None] != root[j]) & (least * 5 >= most * 4) & (bits <= np.where(least <= SMALL, SMALL_BITS, MAX_BITS))
+        if not near.any():
+            return None
+        sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+        common = common_counts([sets[k] for k in i], [sets[k] for k in j], near)
+        x, y = np.nonzero(near & (common >= needed(least, most)))
+        parent = np.arange(len(node))
+        hook(parent, i[x], j[y])
+        return _star(node, parent)
+
+    return dealt.repartition("cluster", "both").sortWithinPartitions("cluster", "both").mapInArrow(_by_group(linked), "a bigint, b bigint").distinct()
+
+
+def _sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """node, set of the nodes in ends(node), read from one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingles(t, shingle).astype("<u8").tobytes() for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "set"])
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     one = materialise(one, "texts")  # small where few texts are near any other: then sent to the texts, not dealt
     texts = docs.select(text_hash().alias("text_hash"), "text").join(one, "text_hash").select("node", "text")
@@ -232,17 +307,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = materialise(dealt.join(leaders, "key"), "groups")
     _drop(dealt)
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        sets = materialise(_sets(docs, rows, pairs, shingle), "sets")
-        out = materialise(_verified(pairs, sets), label)
-        _drop(sets)
-        return out
-
-    links = verified(_with_leaders(groups), "links")
+    pairs = materialise(_with_leaders(groups), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialise(_sets(docs, rows, ends, shingle), "sets")
+    links = materialise(_verified(pairs, sets), "links")
+    _drop(sets)
     first = materialise(components(links), "first")
-    more = verified(_across(groups, first), "more")
+    clusters = materialise(components(_across(groups, first)).withColumnsRenamed({"root": "cluster"}), "clusters")
     _drop(groups)
+    placed = nodes.select("node", "n", "f", "g").join(clusters, "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = materialise(_sets(docs, rows, clusters.select("node"), shingle), "sets")
+    more = materialise(_counted(placed.join(sets, "node")), "more")
+    _drop(sets)
     found = first if more.isEmpty() else components(links.unionByName(more))
     return rows.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 

@@ -41,7 +41,7 @@ from tidemark.llm.common import load, materialise, runs, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_CHUNKS, CHUNK_MOST = 500_000, 128
+CACHED_CHUNKS, CHUNK_MOST = 300_000, 128
 GROUP, BREAK = 64, "\x01"
 CHUNK_BYTES = 1 << 19
 BUCKET_ROWS, MAX_BUCKETS = 128, 4096

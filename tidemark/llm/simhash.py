@@ -118,19 +118,24 @@ def _leaves(points: np.ndarray, pairs: np.ndarray, most: int, wide: np.ndarray |
             yield i[near], j[near]
 
 
+def hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Puts both ends of every link under one root, in place; every node hangs on its root."""
+    while True:  # hook roots on smaller roots, then shorten, until these links are inside
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def stars(points: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(member, centre) of each linked set of distinct sorted points, centres left out."""
     parent = np.arange(len(points))
     for i, j in trie_links(points, most):
-        while True:  # hook roots on smaller roots, then shorten, until these links are inside
-            a, b = parent[i], parent[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
+        hook(parent, i, j)
     member = np.flatnonzero(parent != np.arange(len(points)))
     return points[member], points[parent[member]]
 
