@@ -6,7 +6,7 @@ error deletes, anything else upserts). Every query runs over its whole tables.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import filters, vectors
 from tidemark.functions.ids import stable_ids
 from tidemark.operators import branches, evaluate, knn, multivector, versions
+from tidemark.session import shared_folder
 from tidemark.sources import sql as sql_surface
 from tidemark.sources.store import ChangeLog
 from tidemark.streaming.cdc import commit_stream
@@ -686,8 +687,7 @@ def where_contains(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{next(tempfile._get_candidate_names())}" if shared else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{shared_folder(spark)}/tidemark-store-{uuid.uuid4().hex}"
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label <> 3")
