@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,27 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from tidemark.session import shared_folder
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (local tests) a temporary folder is made and set.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
