@@ -40,6 +40,27 @@ def fold(column: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % modulus == remainder, F.lit(False))
 
 
+#: 64-bit words of a bitmap: 2**24 bits, so what is broadcast has at most this many rows whatever the data
+BITMAP_WORDS = 1 << 18
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftright(key, 6), F.lit(BITMAP_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), key.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`, true wherever key (a 64-bit hash) is among keys(key), and by
+    chance for others: a broadcast bitmap of bounded size, so that rows which have no part
+    in a later exact join need not be shuffled for it."""
+    word, bit = _place(F.col("key"))
+    bits = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    at, held = fresh(rows, f"{name}_word"), fresh(rows, f"{name}_bits")
+    bits = F.broadcast(bits.withColumnsRenamed({"w": at, "b": held}))
+    own, mine = _place(key)
+    found = rows.join(bits, own == bits[at], "left")
+    return found.withColumn(name, F.coalesce(F.col(held).bitwiseAND(mine) != 0, F.lit(False))).drop(at, held)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have."""
     taken = {c.lower() for c in docs.columns}

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, remove, runs, utf8
+from tidemark.llm.common import flagged, materialise, remove, runs, utf8
 from tidemark.llm.graph import components
 from tidemark.llm.simhash import hook, keep_found, text_hash, trie_links
 
@@ -275,8 +275,10 @@ def _sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, shingle: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "set"])
 
     one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    one = materialise(one, "texts")  # small where few texts are near any other: then sent to the texts, not dealt
-    texts = docs.select(text_hash().alias("text_hash"), "text").join(one, "text_hash").select("node", "text")
+    one = materialise(one, "texts")
+    hashed = docs.select(text_hash().alias("text_hash"), "text")
+    asked = flagged(hashed, F.col("text_hash"), one.select(F.col("text_hash").alias("key")), "asked").where("asked")
+    texts = asked.join(one, "text_hash").select("node", "text")
     return texts.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
 
 

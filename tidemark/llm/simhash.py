@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, load, materialise, runs, utf8
+from tidemark.llm.common import flagged, fresh, load, materialise, runs, utf8
 from tidemark.llm.graph import components
 
 SHINGLE = 3
@@ -261,10 +261,17 @@ def keep_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     own_hash, keep_id, keep_hash, nth = (fresh(docs, c) for c in ("_text_hash", "_keep_id", "_keep_hash", "_nth"))
     keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.d").alias(keep_id), F.col("k.h").alias(keep_hash))
     keep = materialise(keep, "keep")
+    own_key, suspect = F.xxhash64("doc_id", "text_hash"), fresh(docs, "_suspect")
+    kept_key = F.xxhash64(keep_id, keep_hash)
+    # rows that go, and rows met more than once: only what may be one of these is shuffled, the rest just stays
+    counts = found.groupBy(own_key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    some = counts.join(keep.select(kept_key.alias("kept")), F.col("key") == F.col("kept"), "left").where("kept is null or n > 1").select("key")
     own = docs.withColumn(own_hash, text_hash())
-    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)))
+    own = flagged(own, F.xxhash64("doc_id", own_hash), materialise(some, "suspects"), suspect)
+    stays = own.where(~F.col(suspect)).select(*docs.columns)
+    kept = own.where(F.col(suspect)).join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)))
     once = Window.partitionBy(keep_id, keep_hash).orderBy(F.lit(0))
-    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+    return stays.unionByName(kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
