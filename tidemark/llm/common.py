@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_folder
 
 
+#: Spark's setting that deletes the shuffle files of a query when it has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -21,9 +26,15 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and
+    the shuffles of the write are deleted with it, as nothing reads them again."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +86,15 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(kind).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system: workers outlive stages, and what
+    one stage has freed but kept would stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to about `most`; a larger row stands alone."""
     lo = total = 0
