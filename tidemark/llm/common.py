@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,15 +86,33 @@ def utf8(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(kind).to_pylist()]
 
 
-def give_back() -> None:
-    """Returns freed memory of this worker to the system: workers outlive stages, and what
-    one stage has freed but kept would stand beside what the next one needs."""
+#: what a worker keeps from task to task, by the function that does
+kept: dict[str, dict] = {}
+
+
+def give_back(keep: str | None = None) -> None:
+    """Returns freed memory of this worker to the system, and what functions other than
+    `keep` have kept: workers outlive stages, and what one stage has left would stand beside
+    what the next one needs."""
+    for name in [n for n in kept if n != keep]:
+        del kept[name]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
     if trim:
         trim(0)
 
 
+def giving(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives memory back before it begins and after its last batch."""
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return given
+
+
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to about `most`; a larger row stands alone."""
     lo = total = 0

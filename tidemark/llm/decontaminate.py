@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import load, materialise, runs, utf8
+from tidemark.llm.common import giving, load, materialise, runs, utf8
 
 WINDOW = 8
 MAX_PASS_BYTES = 2 << 20
@@ -164,7 +164,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_pas
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in keys] + made, names=[*keys, "n_words", "ranges", "items"])
 
         heads = ", ".join(f"{k} {kinds[k].dataType.simpleString()}" for k in keys)
-        return frame.mapInArrow(run, f"{heads}, {_FOUND}")
+        return frame.mapInArrow(giving(run), f"{heads}, {_FOUND}")
 
     if count == 1:
         return one(next(_passes(benchmark, n, 1)), base, ["doc_id"])
@@ -224,7 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_it
                     texts, got = ([x for x, s in zip(xs, stays, strict=True) if s] for xs in (texts, got))
                 yield b if remove == "documents" else _cut(b, at, texts, got, held.value)
 
-        return frame.mapInArrow(run, docs.schema)
+        return frame.mapInArrow(giving(run), docs.schema)
 
     if count == 1:
         return cut(next(_passes(benchmark, n, 1)), docs, remove != "spans")
@@ -276,7 +276,7 @@ def _items_of(docs: DataFrame, held) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(pa.string()))], names=["k", "items"])
 
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-    return keyed.mapInArrow(run, "k bigint, items array<string>").where(F.size("items") > 0).dropDuplicates(["k", "items"])
+    return keyed.mapInArrow(giving(run), "k bigint, items array<string>").where(F.size("items") > 0).dropDuplicates(["k", "items"])
 
 
 def _without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import flagged, materialise, remove, runs, utf8
+from tidemark.llm.common import flagged, giving, materialise, remove, runs, utf8
 from tidemark.llm.graph import components
 from tidemark.llm.simhash import hook, keep_found, text_hash, trie_links
 
@@ -117,7 +117,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in (b.column(0), b.column(1))] + made, names=["doc_id", "text_hash", "node", "n", "f", "g", "keys"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(f"text_hash bigint, node bigint, {_NODE}").fields])
-    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(giving(run), schema)
 
 
 def _near(n: Column, m: Column, bits: Column) -> Column:
@@ -174,7 +174,7 @@ def _across(groups: DataFrame, roots: DataFrame) -> DataFrame:
             hook(parent, i, j)
         return _star(node, parent)
 
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_by_group(near), "a bigint, b bigint").distinct()
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(giving(_by_group(near)), "a bigint, b bigint").distinct()
 
 
 def _star(node: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
@@ -263,7 +263,7 @@ def _counted(members: DataFrame) -> DataFrame:
         hook(parent, i[x], j[y])
         return _star(node, parent)
 
-    return dealt.repartition("cluster", "both").sortWithinPartitions("cluster", "both").mapInArrow(_by_group(linked), "a bigint, b bigint").distinct()
+    return dealt.repartition("cluster", "both").sortWithinPartitions("cluster", "both").mapInArrow(giving(_by_group(linked)), "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _sets(docs: DataFrame, rows: DataFrame, ends: DataFrame, shingle: int) -> Da
     hashed = docs.select(text_hash().alias("text_hash"), "text")
     asked = flagged(hashed, F.col("text_hash"), one.select(F.col("text_hash").alias("key")), "asked").where("asked")
     texts = asked.join(one, "text_hash").select("node", "text")
-    return texts.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"])
+    return texts.mapInArrow(giving(run), "node bigint, set binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(giving(run), "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import load, materialise, runs, utf8
+from tidemark.llm.common import give_back, kept, load, materialise, runs, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -59,12 +59,12 @@ _UNITS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 #: bytes of plain texts: white space, ASCII but for the apostrophe, and letters from U+00C0 to U+00FF
 _PLAIN = bytes({9, 10, 11, 12, 13, *range(32, 127), 0xC3, *range(0x80, 0xC0)} - {39})
 _SIGNS = "\u00d7".encode(), "\u00f7".encode()
+OWN = "tokenizers"
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: what a tokenizer must do before its merges for its texts to be coded chunk by chunk
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BY_BYTE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-_tokenizers: dict[int, "ChunkTokenizer"] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -193,11 +193,12 @@ class ChunkTokenizer:
 
 
 def tokenizer_of(definition: str) -> ChunkTokenizer:
-    """One tokenizer and cache for each definition and Python worker."""
+    """One tokenizer and cache for each definition and Python worker, until another stage needs the memory."""
     key = zlib.crc32(definition.encode())
-    if key not in _tokenizers:
-        _tokenizers[key] = ChunkTokenizer(definition)
-    return _tokenizers[key]
+    own = kept.setdefault(OWN, {})
+    if key not in own:
+        own[key] = ChunkTokenizer(definition)
+    return own[key]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -220,6 +221,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                         ids.append(np.frombuffer(own, "<u4").astype(np.int64))
             made = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(made + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, names=names)
+        give_back(OWN)
 
     kinds = [docs.schema["doc_id"].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.LongType()] + [T.ArrayType(T.LongType())] * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))

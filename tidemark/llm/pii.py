@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import load, runs, utf8
+from tidemark.llm.common import giving, load, runs, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # the last is none
@@ -272,7 +272,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             columns = list(zip(*made, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.list_(pa.int32())), *(pa.array([[list(x) for x in row] for row in c], pair) for c in columns[1:])], names=["h", "label", "shape", "chain", "skip"])
 
-    found = rows.mapInArrow(run, "h bigint, label array<int>, shape array<array<int>>, chain array<array<int>>, skip array<array<int>>")
+    found = rows.mapInArrow(giving(run), "h bigint, label array<int>, shape array<array<int>>, chain array<array<int>>, skip array<array<int>>")
     shapes, labels, chain, skip = [], [], [], []
     for r in found.orderBy("h").limit(sample).collect():
         n = len(labels)
@@ -316,7 +316,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(f"base {span}, spans {span}").fields])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving(run), schema)
 
 
 def digest(docs: DataFrame, field: Field) -> DataFrame:
@@ -332,7 +332,7 @@ def digest(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, *texts], names=names)
 
     kinds = [docs.schema["doc_id"].dataType, *[T.LongType()] * 4, T.StringType(), T.StringType()]
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return docs.select("doc_id", "text").mapInArrow(giving(run), T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -375,7 +375,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 columns[k] = pa.array([o if z else len(t) for t, z, o in zip(texts, nulls, b.column(k).to_pylist(), strict=True)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving(run), docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

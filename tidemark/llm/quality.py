@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, load, utf8
+from tidemark.llm.common import fold, giving, load, utf8
 
 SAMPLE = 8192
 THRESHOLD = 0.7
@@ -117,7 +117,7 @@ def train(docs: DataFrame, positives: DataFrame, sample: int = SAMPLE) -> np.nda
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([describe(t) for t in utf8(b.column(1))], pa.list_(pa.int32()))], names=["h", "bins"])
 
-        return np.array([r.bins for r in rows.mapInArrow(run, "h bigint, bins array<int>").orderBy("h").limit(sample).collect()], dtype=np.int64)
+        return np.array([r.bins for r in rows.mapInArrow(giving(run), "h bigint, bins array<int>").orderBy("h").limit(sample).collect()], dtype=np.int64)
 
     positive, unlabelled = bins(picked(positives, "p")), bins(picked(docs, "u"))
     if not len(positive) or not len(unlabelled):
@@ -141,7 +141,7 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(utf8(b.column(1)), weights), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
+    return docs.select("doc_id", "text").mapInArrow(giving(run), T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def keep(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -153,7 +153,7 @@ def keep(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESHO
         for b in batches:
             yield b.filter(pa.array(_scores(utf8(b.column(b.schema.get_field_index("text"))), weights) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving(run), docs.schema)
 
 
 def model_for(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
