@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 
+from tidemark.llm import licenses
 from tidemark.llm.common import load
 from tidemark.llm.licenses import op2_licenses, scan, scan_licenses
 from tidemark.llm.queries import QUERIES
@@ -63,6 +65,49 @@ def test_scan(case):
     assert (got[0], got[2]) == (licenses, unknown), got
 
 
+ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software of X.\n"
+ENDORSE = "4. Neither the name of X nor Y may be used to endorse or promote products.\n"
+#: sentences without words like "license" or "warranty", cue words over a line break, and a sentence with parts of two licenses
+SENTENCES = [
+    ("Released under the GPL, version 3.", ["GPL-3.0-only"], 0),
+    ("This text is distributed under Apache 2.0 or MIT. Plain prose.", ["Apache-2.0", "MIT"], 0),
+    ("Available under CC BY 4.0.", ["CC-BY-4.0"], 0),
+    ("It was placed in the public\n   domain by its author.", ["LicenseRef-public-domain"], 0),
+    ("This is in the public domain, or\nnot: ask who holds the public\ndomain.", ["LicenseRef-public-domain"], 0),
+    ("Who is in charge of the public\ndomain?", [], 1),
+    (BSD.format(ADVERTISING), ["BSD-4-Clause"], 0),
+    (BSD.format(ADVERTISING + ENDORSE), ["BSD-4-Clause"], 0),
+    (" ".join(re.findall(r"\w+", BSD.format("") + BSD.format(ENDORSE))), ["BSD-2-Clause", "BSD-3-Clause"], 0),
+]
+
+
+@pytest.mark.parametrize("case", SENTENCES, ids=range(len(SENTENCES)))
+def test_every_sentence_is_matched(case):
+    test_scan(case)
+
+
+def test_no_sentence_with_an_id_or_a_cue_is_left_out():
+    r = random.Random(2)
+    names = "GNU GPL v2|GPLv3|AGPL-3.0|Lesser GPL|Apache 2.0|MPL-2.0|EPL 1.0|EUPL v1.2|CDDL|CC0 1.0|Creative Commons Zero|CC BY 4.0|CC-BY-SA 4.0|BSD|New BSD|3-clause BSD|BSD-2-Clause|MIT|MIT X11|MITX11|Expat|ISC|zlib|WTFPL|Mozilla Public License 2.0|Boost Software Licence|Artistic License 2.0|the unlicense".split("|")
+    verbs = re.findall(r"[a-z-]{3,}", licenses._VERBS)
+    parts = [p.pattern for _, p in licenses._SENTENCES] + [licenses._CUES.pattern]
+    words = [w for p in parts for w in re.findall(r"[a-z]+", p.replace(r"\b", " ").replace(r"\w", " ").replace(r"\d", " "))]
+    seen = set()
+    for i in range(20_000):
+        if i % 2:
+            made = [r.choice(verbs), r.choice(["under", "by", "with the"]), r.choice(names)]
+        else:  # a stretch of the patterns' own words, whose alternatives stand in a row
+            at = r.randrange(len(words))
+            made = [w for w in words[at : at + r.randint(2, 24)] if r.random() < 0.9]
+        text = "".join(w + r.choice([" ", " ", "\n", ", ", "_ _", " (", "\n * "]) for w in " ".join(made).split())
+        s = licenses._MARKS.sub("", r.choice([text, text.upper(), f"_{text}_"]))
+        ids = licenses.sentence_ids(licenses.normalise(s))
+        if ids or licenses._CUES.search(licenses.normalise(s)):
+            assert licenses.may_match(s.lower()), s
+            seen.update(ids)
+    assert len([x for x in seen if x[0] == "="]) > 20 and len([x for x in seen if x[0] != "="]) > 10, seen
+
+
 def test_rows(spark, sf):
     frame = spark.createDataFrame([(1, CASES[3][0], "x"), (1, CASES[3][0], "x"), (None, None, "x")], "doc_id bigint, text string, licenses string")
     assert sorted((str(r.doc_id), r.licenses) for r in scan_licenses(frame).collect()) == [("1", ["Apache-2.0"]), ("1", ["Apache-2.0"]), ("None", [])]

@@ -9,8 +9,9 @@ ids all follow in order there names a license and uses them up, and an id no rul
 with is passed over. Rules for whole license texts come before those for their parts.
 
 A sentence that speaks of licensing (a cue word) but has no id is counted as unknown.
-Texts are read whole. Sentences without any of `TRIGGERS` are not matched: every pattern
-needs one of them.
+Texts are read whole, and a pattern counts at each place where it occurs. `may_match` leaves
+out only sentences that no pattern and no cue can match: it asks for single words (a line
+break or a mark may stand between two), one of each pattern, in any sentence.
 
 Defined cases: a null, empty or blank text has no licenses; every row gives one row, null
 and repeated ids too; other columns are not read.
@@ -27,7 +28,6 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import load
 
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "liable", "without restriction", "public domain", "all rights reserved", "endorse", "notice", "spdx", "useful")
 _CUES = re.compile(r"\b(?:(?:re|sub|un)?licens(?:e|es|ed|ing|or|ee)|copyright(?:ed|s)?|all rights reserved|public domain|warranty|warranties|redistribut(?:e|ed|ion|ions))\b")
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|--+|;+|%+|<!--|dnl\b|rem\b)[ \t]*")
 _ENDS = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|(?<=:)[ \t]*\n|\n[ \t\r]*\n")
@@ -61,8 +61,9 @@ _NAMES = [
     (stem, re.compile(r"(?:the |a |an )?(?:(?:version|v) ?(?P<before>\d+(?:\.\d+)*)(?P<soon> or (?:at your option )?(?:any )?later)?(?: of)? (?:the )?)?" + body + (rf"(?:(?: international| license)*(?:{_V.format('after')}))?(?:{_ONLY}|{_LATER.format('later')})?" if versioned else "") + r"(?: international| license)?(?![^\s])"))
     for stem, body, versioned in _FAMILIES
 ]
+_VERBS = r"(?:licensed|dual-licensed|sublicensed|relicensed|released|distributed|redistributed|published|available|provided|covered|offered|governed|issued|subject|shared|used|modify|copied|redistribute|use)"
 _REFERENCE = re.compile(
-    r"(?<!not )(?<!never )\b(?:licensed|dual-licensed|sublicensed|relicensed|released|distributed|redistributed|published|available|provided|covered|offered|governed|issued|subject|shared|used|modify|copied|redistribute|use)\b(?: (?!not\b)\S+){0,6}? (?:under|by|to|with)(?: (?:the|both|either|terms|conditions|provisions|and|or|of|a|an)\b){0,8} "
+    rf"(?<!not )(?<!never )\b{_VERBS}\b(?: (?!not\b)\S+){{0,6}}? (?:under|by|to|with)(?: (?:the|both|either|terms|conditions|provisions|and|or|of|a|an)\b){{0,8}} "
 )
 _JOIN = re.compile(r"(?: and| or|,)(?: (?:the|under|either|terms|conditions|of)\b)*? ")
 _AS_PUBLISHED = re.compile(r" as published by the free software foundation(?: either)?(?: version (\d+(?:\.\d+)*)(?: of the license)?)?( or at your option any later version)?")
@@ -100,6 +101,11 @@ _SENTENCES = [
 ]
 _SENTENCES = [(name, re.compile(p)) for name, p in _SENTENCES]
 
+#: every sentence pattern, every cue and every name not in _SHORT has one of these in a word
+_STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "liable", "domain", "reserved", "endorse", "notice", "advertising", "spdx")
+_SHORT = re.compile(r"(?<![^\W_])(?:[al]?gpl|apache|mpl|epl|eupl|cddl|cc0|creative|bsd|wtfpl|(?:cc|mit|mitx11|expat|isc|zlib)(?![^\W_]))")
+_VERB = re.compile(rf"(?<![^\W_]){_VERBS}(?![^\W_])")
+
 #: (license, sentence ids in order; "?" ones may be absent), tried from first to last
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-4-Clause", ("BsdConditions", "BsdSource", "BsdBinary", "BsdAdvertising", "?BsdEndorse", "?AsIs", "?NoLiability")),
@@ -165,7 +171,7 @@ def _name_at(sentence: str, at: int) -> tuple[str, int] | None:
 
 def sentence_ids(sentence: str) -> list[str]:
     """Ids of a normalised sentence in reading order; a named license is "=" and its name."""
-    got: list[tuple[int, str]] = [(m.start(), name) for name, p in _SENTENCES if (m := p.search(sentence))]
+    got: list[tuple[int, str]] = [(m.start(), name) for name, p in _SENTENCES for m in p.finditer(sentence)]
     done = 0
     for start in _REFERENCE.finditer(sentence):
         if start.start() < done:
@@ -204,16 +210,19 @@ def match_rules(ids: list[str]) -> list[str]:
     return out
 
 
+def may_match(lower: str) -> bool:
+    """False only where no sentence of the lower-cased text has an id or a cue."""
+    return any(x in lower for x in _STEMS) or (_SHORT.search(lower) is not None and _VERB.search(lower) is not None)
+
+
 def scan(text: str | None) -> tuple[list[str], list[str], int]:
     """Licenses (distinct, sorted), sentence ids in order, and the number of unknown license sentences."""
-    lower = (text or "").lower()
-    if not any(t in lower for t in TRIGGERS):
+    if not text or not may_match(text.lower()):
         return [], [], 0
     ids: list[str] = []
     unknown = 0
     for s in sentences(text):
-        low = " ".join(s.lower().split())
-        if not any(t in low for t in TRIGGERS):
+        if not may_match(s.lower()):
             continue
         tagged = [f"={x}" for line in _SPDX.findall(s) for x in _SPDX_ID.findall(line.split("*/")[0]) if x not in ("OR", "AND", "WITH")]
         got = tagged + sentence_ids(normalise(_SPDX.sub(" ", s)))
