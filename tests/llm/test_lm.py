@@ -99,6 +99,87 @@ def test_all_ways_agree(spark, case):
         assert sum(dealt.values()) == pytest.approx(sum(whole.values()), rel=0.02)
 
 
+def test_pairs_of_two_rare_words_are_resampled():
+    rng = np.random.default_rng(4)
+    rare = np.array([int(lm.BIG) + i for i in range(12)], dtype=np.uint64)
+    w, u = (x.ravel() for x in np.meshgrid(rare, rare, indexing="ij"))
+    c = rng.integers(0, 100, len(w))
+    pairs, before, state = lm.Pairs(w, u, c, 0, 1), None, None
+    for run in range(2):
+        before, added = state, np.zeros((1, 2 * lm.CODES + 2))
+        lm.sums(pairs, before, 1, run, added)
+        state = lm.State(int(c.sum()), 12, np.zeros(lm.CODES), added, before)
+    seen = [t for t, _, _ in lm.seatings(pairs, state, lm.SAMPLES, 2)]
+    for t in seen:
+        assert (t <= c).all() and (t[c > 0] >= 1).all() and t[c > 50].mean() > 1.2
+    assert any((t != seen[0]).any() for t in seen)
+
+
+def test_scores_of_rare_pairs_are_as_those_of_top_pairs(spark):
+    """Few words in many buckets: where one word is a top word most pairs are of two rare ones."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, range(1, 13), k=40)), None, None) for i in range(150)], DOCS)
+    whole, dealt = ({x.doc_id: x.score for x in score_texts(docs, fold("doc_id", 7, 2), *way).collect()} for way in (WAYS[0], WAYS[3]))
+    assert sum(dealt.values()) == pytest.approx(sum(whole.values()), rel=0.003)
+    assert all(dealt[k] == pytest.approx(v, rel=0.03) for k, v in whole.items())
+
+
+def test_buckets_tell_each_other_their_tables():
+    """Pairs of rare words over buckets: every context's probabilities add up to one."""
+    buckets, samples = 3, 2
+    rng = np.random.default_rng(3)
+    rare = np.array([int(lm.BIG) + (i << 31) + i for i in range(9)], dtype=np.uint64)
+    words, contexts = np.append(np.arange(2, dtype=np.uint64), rare), np.append(np.array([0, lm.START], dtype=np.uint64), rare[:-1])
+    w, u = (x.ravel() for x in np.meshgrid(words, contexts, indexing="ij"))
+    c = rng.integers(0, 200, len(w))
+    c[w == rare[-1]] = 0  # the unknown word
+    home = lm._homes(w, u, lm._mixed(w, u), buckets).astype(int)
+    both = (w >= lm.BIG) & (u >= lm.BIG)
+    parts = []
+    for b in range(buckets):
+        at = np.flatnonzero((home == b) | both & (lm._bucket(u, buckets) == b))
+        parts.append(lm.Pairs(w[at], u[at], c[at], b, buckets))
+    customers = np.zeros(lm.CODES)
+    np.add.at(customers, u[u < lm.BIG].astype(int), c[u < lm.BIG])
+
+    def run(before, n, seed, mail):
+        added, sent = np.zeros((n, 2 * lm.CODES + 2)), []
+        for b, p in enumerate(parts):
+            sent += lm.letters(p, *lm.sums(p, before, n, seed + b, added, mail[b]), b, buckets)
+        return lm.State(int(c.sum()), 10, customers, added, before), sent
+
+    def to(b, kind, sent):
+        return [blob for x, k, blob in sent if (x, k) == (b, kind)]
+
+    before, mail, told = None, [None] * buckets, None
+    for r in range(3):
+        state, sent = run(before, samples if r == 2 else 1, 10 * r, mail)
+        if r == 2:
+            told = [lm.Mail(p, samples, to(b, 1, sent)) for b, p in enumerate(parts)]
+            break
+        answered = [x for b in range(buckets) for own in to(b, 0, sent) for x in lm.answers(b, own, to(b, 1, sent))]
+        before, mail = state, [lm.Mail(p, 1, to(b, 1, answered), to(b, 0, answered)) for b, p in enumerate(parts)]
+    assert any(m.added.any() for m in told) and any(m.tables.any() for m in mail)
+    total, tables, over_of = Counter(), {}, {}
+    asked = []
+    for b, p in enumerate(parts):
+        logs, seats, parents, over = lm.log_probabilities(p, before, state, 20 + b, mail[b], told[b])
+        for i in np.flatnonzero(~p.both):
+            total[int(p.u[i])] += 10 ** logs[i]
+        for i, x in enumerate(p.contexts):
+            tables[int(x)] = [t[i] for t in seats]
+        asked += [(int(p.u[j]), int(p.c[j]), [x[i] for x in parents], [x[i] for x in over]) for i, j in enumerate(np.flatnonzero(p.asked))]
+    for x, n, parents, over in asked:
+        seen = int(c[u == np.uint64(x)].sum())
+        assert max(over) > 0 or n < 20
+        for s in range(samples):
+            total[x] += (n - lm.D1 * (min(n, 1) + over[s]) + (lm.THETA1 + lm.D1 * tables[x][s]) * parents[s]) / (lm.THETA1 + seen) / samples
+    assert len(total) == len(contexts) and len(asked) == both.sum()
+    for x in total.values():
+        assert x == pytest.approx(1.0, abs=1e-6)
+
+
 def test_stirling_numbers_count_seatings():
     s = stirling(0.5, 6)
 

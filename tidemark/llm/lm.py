@@ -18,18 +18,21 @@ has one home, where all its occurrences meet:
    pairs are dealt into buckets: by the word if it is not a top word, else by the context
    if that is not one, else by both. A bucket thus has every customer of its words in the
    parent, and every table of its contexts but for pairs of two words that are both no top
-   words; those are sent to the context's bucket too;
+   words; those are seated in the word's bucket, and their counts are sent to the context's
+   too;
 3. seating starts with one table a pair. A run of sweeps in each bucket starts from the
-   totals of all top words and contexts, which are added up after it for the next run:
-   ROUNDS runs, then the one whose SAMPLES seatings are scored;
+   totals of all top words and contexts, which are added up after it for the next run, and
+   from what buckets tell each other: a context's bucket is told the tables of its pairs
+   that are seated elsewhere, and then tells the words' buckets the context's total. ROUNDS
+   runs, then the one whose SAMPLES seatings are scored;
 4. each bucket returns its share of every text's score. Pairs of two words that are no top
    words are scored in the context's bucket, where the word's probabilities are sent, one
    message from bucket to bucket.
 
-Pairs of two words that are both no top words sit at one table throughout: their home has
-not all of the context's tables while seating. Sums stay exact, so the probabilities of a
-context add up to one. No pair is dropped. A word with over 1/TOP of the tokens is a top
-word, so no bucket is hot. Words are identified by 63-bit hashes.
+All pairs are resampled. Totals from other buckets are those of the run before; sums stay
+exact, so the probabilities of a context add up to one. No pair is dropped. A word with
+over 1/TOP of the tokens is a top word, so no bucket is hot. Words are identified by 63-bit
+hashes.
 
 Defined cases: a null, empty or blank text is its end token alone; without training
 texts N and V are zero and every score is that of the uniform base; repeated and null
@@ -43,6 +46,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +73,7 @@ STIRLING = 64
 DRAWN_CELLS = 1 << 19
 MIN_BUCKETS, BUCKET_TOKENS, MOST_TASKS = 64, 1_000_000, 20_000
 SLICES = 16
+PASSES = 2
 BLOCK_BYTES = 8 << 20
 LEAST_BYTES = BLOCK_BYTES // 65_000  # so that a block has under 2**16 texts
 CHUNK_BYTES = 1 << 20
@@ -167,9 +172,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def shut(blob: bytes) -> bytes:
+def shut(blob: bytes, level: int = 1) -> bytes:
     """Compressed, for what is shuffled: entropy coding halves ranks and counts, Spark's own codec does not."""
-    return zstandard.ZstdCompressor(level=1).compress(blob)
+    return zstandard.ZstdCompressor(level=level).compress(blob)
 
 
 def opened(blob: bytes) -> bytes:
@@ -390,6 +395,10 @@ class Pairs:
         self.place_w[self.at_w], self.place_u[self.at_u] = self.of_w, self.of_u
         self.both = self.rare_w & self.rare_u
         self.asked = self.both & mine_w
+        many = c >= 2
+        self.drawn = np.flatnonzero(many & (~self.both | mine_w))
+        # pairs seated here with a context elsewhere, and pairs seated elsewhere with a context here
+        self.away, self.copied = np.flatnonzero(many & self.asked & ~mine_u), np.flatnonzero(many & self.both & ~mine_w)
 
     def own(self, t: np.ndarray) -> np.ndarray:
         return np.bincount(self.of_w, t[self.at_w], minlength=len(self.words)).astype(np.int64)
@@ -408,7 +417,55 @@ class Pairs:
         return out
 
 
-def seatings(pairs: Pairs, before: State | None, samples: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class Mail:
+    """What a bucket is told by others: by sample, the tables beyond one a pair that pairs of
+    its contexts have elsewhere; and the tables of the contexts of its pairs `away`."""
+
+    def __init__(self, pairs: Pairs, samples: int, added: list[bytes] = (), totals: list[bytes] = ()):
+        self.added = np.zeros((samples, len(pairs.contexts)), dtype=np.int64)
+        for u, *over in map(unpack, added):
+            at = np.searchsorted(pairs.contexts, u)
+            for s, n in enumerate(over):
+                np.add.at(self.added[s], at, n)
+        self.tables = np.zeros(len(pairs.w))
+        if totals:
+            u, n = (np.concatenate(x) for x in zip(*map(unpack, totals), strict=True))
+            order = np.argsort(u)
+            self.tables[pairs.away] = n[order[np.searchsorted(u, pairs.u[pairs.away], sorter=order)]]
+
+
+def letters(pairs: Pairs, seats: np.ndarray, over: list[np.ndarray], bucket: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """From a bucket after a run, for `answers`: to itself (kind 0) tables of contexts that
+    pairs elsewhere have and the buckets of these; to contexts' buckets (kind 1) tables
+    beyond one of the pairs that are away, by sample."""
+    if len(pairs.copied):
+        ask = np.unique(_bucket(pairs.w[pairs.copied], buckets) << np.uint64(32) | pairs.place_u[pairs.copied].astype(np.uint64))
+        at, of = np.unique(ask & np.uint64(0xFFFFFFFF), return_inverse=True)
+        at = at.astype(np.int64)
+        yield bucket, 0, pack(pairs.contexts[at], seats[at].astype(np.uint32), (ask >> np.uint64(32)).astype(np.uint32), of.astype(np.uint32))
+    some = np.flatnonzero(np.sum(over, axis=0))
+    u = pairs.u[pairs.away[some]]
+    to = _bucket(u, buckets).astype(np.int64)
+    for x in np.unique(to).tolist():
+        mine = to == x
+        yield x, 1, pack(u[mine], *(n[some[mine]].astype(np.uint32) for n in over))
+
+
+def answers(bucket: int, own: bytes, added: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """From a context's bucket before the next run: to words' buckets (kind 0) all tables of
+    the contexts; to itself (kind 1) what it was told."""
+    u, n, to, of = unpack(own)
+    n = n.astype(np.int64)
+    for blob in added:
+        told, over = unpack(blob)
+        np.add.at(n, np.searchsorted(u, told), over)
+        yield bucket, 1, blob
+    edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        yield int(to[a]), 0, pack(u[of[a:z]], n[of[a:z]].astype(np.uint32))
+
+
+def seatings(pairs: Pairs, before: State | None, samples: int, seed: int, mail: Mail | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Seatings of a bucket: tables of each type, and of each rare word in the parent its
     customers and tables. Without a state before, the first one: a table for each type."""
     c = pairs.c
@@ -419,12 +476,13 @@ def seatings(pairs: Pairs, before: State | None, samples: int, seed: int) -> Ite
         yield t, own, roots
         return
     rng = np.random.default_rng(seed)
-    drawn = np.flatnonzero((c >= 2) & ~pairs.both)
+    mail = mail or Mail(pairs, 1)
+    drawn = pairs.drawn
     local = drawn[pairs.rare_w[drawn] | pairs.rare_u[drawn]]
     for sweep in range(BURN_IN + samples):
         at = local if sweep < BURN_IN else drawn
         parent = pairs.spread(at, before.predictive(own, roots, 0), before.parent[0], True)
-        tables = pairs.spread(at, pairs.totals(t), before.tables[0], False)
+        tables = pairs.spread(at, pairs.totals(t) + mail.added[0], before.tables[0], False) + mail.tables[at]
         t = t.copy()
         t[at] = draw_tables(c[at], (THETA1 + D1 * tables) * parent, D1, rng)
         own = pairs.own(t)
@@ -433,29 +491,37 @@ def seatings(pairs: Pairs, before: State | None, samples: int, seed: int) -> Ite
             yield t, own, roots
 
 
-def sums(pairs: Pairs, before: State | None, samples: int, seed: int, into: np.ndarray) -> None:
-    """Adds what a State is made of, for each sample, to `into`."""
+def sums(pairs: Pairs, before: State | None, samples: int, seed: int, into: np.ndarray, mail: Mail | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Adds what a State is made of, for each sample, to `into`. Returns the tables that own
+    contexts have here in the first sample, and by sample those of pairs away beyond one."""
+    seats, over = None, []
     top_u, top_w = np.flatnonzero(~pairs.rare_u), np.flatnonzero(~pairs.rare_w)
     u, w = pairs.u[top_u].astype(np.int64), pairs.w[top_w].astype(np.int64)
-    for s, (t, own, roots) in enumerate(seatings(pairs, before, samples, seed)):
+    for s, (t, own, roots) in enumerate(seatings(pairs, before, samples, seed, mail)):
+        seats = pairs.totals(t) if s == 0 else seats
+        over.append(t[pairs.away] - 1)
         into[s, :CODES] += np.bincount(u, t[top_u], minlength=CODES)
         into[s, CODES : 2 * CODES] += np.bincount(w, t[top_w], minlength=CODES)
         into[s, 2 * CODES :] += own.sum(), roots.sum()
+    return seats, over
 
 
-def log_probabilities(pairs: Pairs, before: State | None, after: State, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def log_probabilities(pairs: Pairs, before: State | None, after: State, seed: int, mail: Mail | None = None, told: Mail | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """log10 of each type's predictive probability, averaged over the samples, zero where both
-    are rare; and by sample the tables of own contexts and the parent's probabilities of asked types."""
+    are rare; and by sample the tables of own contexts, the parent's probabilities of asked
+    types and their tables beyond one. mail is of the run before, told of these samples."""
+    told = told or Mail(pairs, len(after.parents))
     every = np.arange(len(pairs.w))
     customers = pairs.spread(every, pairs.totals(pairs.c), after.customers, False)
     p = np.zeros(len(every))
-    tables, parents = [], []
-    for s, (t, own, roots) in enumerate(seatings(pairs, before, len(after.parents), seed)):
-        tables.append(pairs.totals(t).astype(np.uint32))
+    tables, parents, over = [], [], []
+    for s, (t, own, roots) in enumerate(seatings(pairs, before, len(after.parents), seed, mail)):
+        tables.append((pairs.totals(t) + told.added[s]).astype(np.uint32))
+        over.append((t - np.minimum(pairs.c, 1))[pairs.asked].astype(np.uint32))
         parent = pairs.spread(every, after.predictive(own, roots, s), after.parent[s], True)
         parents.append(parent[pairs.asked].astype(np.float32))
         p += (pairs.c - D1 * t + (THETA1 + D1 * pairs.spread(every, tables[-1], after.tables[s], False)) * parent) / (THETA1 + customers)
-    return np.log10(np.where(pairs.both, 1.0, p / len(after.parents))), tables, parents
+    return np.log10(np.where(pairs.both, 1.0, p / len(after.parents))), tables, parents, over
 
 
 # --- groups of pairs ------------------------------------------------------------------
@@ -489,13 +555,14 @@ def _table(names: str, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
 
 
-_SUMS = "bucket int, blob binary"
+_SUMS = "bucket int, kind int, blob binary"
+_SUM, _TOLD, _TYPES = -1, 2, 3  # kinds of rows beside letters, which are 0 and 1
 _PARTS = "bucket int, kind int, block bigint, blob binary"
 
 
 def _slices(total: np.ndarray) -> pa.RecordBatch:
     parts = np.array_split(total.ravel(), SLICES)
-    return _table(_SUMS, list(range(SLICES)), [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in parts])
+    return _table(_SUMS, list(range(SLICES)), [_SUM] * SLICES, [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in parts])
 
 
 def _add_up(frame: DataFrame, samples: int) -> np.ndarray:
@@ -504,10 +571,10 @@ def _add_up(frame: DataFrame, samples: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(zlib.decompress(blob), np.int64)
                 held[i] = held[i] + x if i in held else x
-        yield _table(_SUMS, list(held), [zlib.compress(x.tobytes(), 1) for x in held.values()])
+        yield _table(_SUMS, list(held), [_SUM] * len(held), [zlib.compress(x.tobytes(), 1) for x in held.values()])
 
     rows = frame.repartitionById(SLICES, "bucket").mapInArrow(add, _SUMS).collect()
     by = {r.bucket: np.frombuffer(zlib.decompress(r.blob), np.int64) for r in rows}
@@ -542,7 +609,7 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
     coded = code_texts(docs, held, words, buckets, dense)
     tasks = min(buckets, MOST_TASKS)
 
-    def deal(frame: DataFrame, *order: str) -> DataFrame:
+    def deal(frame: DataFrame, *order: str, tasks: int = tasks) -> DataFrame:
         """A bucket a task, so that tasks are alike."""
         return frame.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
 
@@ -559,7 +626,7 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
                 w, u, c, of, m = _merged(types_)
                 doc = np.frombuffer(b"".join(opened(x[2]) for x in blobs), np.uint16)
                 types = pack(*_split(w), *_split(u), c.astype(np.uint32), np.zeros(0, np.uint32))
-                made = {"types": types, "probes": pack(np.array([x[0] for x in blobs], np.int64), rows_, of.astype(np.uint32), m, doc)}
+                made = {"types": shut(types, 3), "probes": shut(pack(np.array([x[0] for x in blobs], np.int64), rows_, of.astype(np.uint32), m, doc), 3)}
             made |= {"kind": key[0], "bucket": key[1]}
             return pa.RecordBatch.from_arrays([pa.array([made.get(f.name)], f.type) for f in like.schema], schema=like.schema)
 
@@ -591,15 +658,48 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
 
     gathered = materialise(deal(coded, "kind", "bucket", "block").mapInArrow(gather, coded.schema), "gathered")
     ranges = gathered.where("kind = 2").select("bucket", F.col("types").alias("counts"))
-    others = gathered.where("kind = 1")
-    merged = others.select("bucket", "types")
+    others = gathered.where("kind = 1").select("bucket", F.lit(_TYPES).alias("kind"), F.col("types").alias("blob"), "probes")
+    # a task returns sums of one size whatever it reads, so a run has fewer tasks than buckets
+    few = max(MIN_BUCKETS, tasks // 8)
 
-    def pairs_of(bucket: int, types: bytes) -> Pairs:
-        w, u, c, _ = _pairs(types)
-        return Pairs(w, u, c.astype(np.int64), bucket, buckets)
+    def with_mail(rows: DataFrame, mail: DataFrame | None, tasks: int) -> DataFrame:
+        """rows of buckets behind the letters to them."""
+        return rows if mail is None else deal(rows.unionByName(mail, allowMissingColumns=True), "bucket", "kind", tasks=tasks)
 
-    def seated(before: State | None, samples: int, run_: int) -> DataFrame:
-        """Sums of a run, in slices."""
+    def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Pairs, dict[int, list[bytes]], bytes | None]]:
+        """Buckets, one's bytes at a time: pairs, letters by kind, and where the pairs occur."""
+        mail: dict[int, list[bytes]] = {0: [], 1: [], _TOLD: []}
+        for b in batches:
+            for i in range(b.num_rows):
+                bucket, kind, blob = (c[i].as_py() for c in b.columns[:3])
+                if kind != _TYPES:
+                    mail[kind].append(blob)
+                    continue
+                w, u, c, _ = _pairs(opened(blob))
+                yield bucket, Pairs(w, u, c.astype(np.int64), bucket, buckets), mail, b.column(3)[i].as_py() if b.num_columns > 3 else None
+                mail = {0: [], 1: [], _TOLD: []}
+
+    def answered_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, own, added = None, None, []
+
+        def out() -> pa.RecordBatch:
+            return _table(_SUMS, *map(list, zip(*answers(bucket, own, added), strict=True)))
+
+        for b in batches:
+            for now, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    if own is not None:
+                        yield out()
+                    bucket, own, added = now, blob, []
+                elif now != bucket:
+                    raise RuntimeError(f"bucket {now} has no totals of its contexts")
+                else:
+                    added.append(blob)
+        if own is not None:
+            yield out()
+
+    def seated(before: State | None, mail: DataFrame | None, samples: int, run_: int) -> DataFrame:
+        """Sums of a run, in slices, and letters."""
         sent_state = context.broadcast(before)
 
         def of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -612,20 +712,26 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
 
         def of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((samples, 2 * CODES + 2))
-            for b in batches:
-                for i in range(b.num_rows):
-                    bucket, types = (c[i].as_py() for c in b.columns)
-                    sums(pairs_of(bucket, types), sent_state.value, samples, _seed(CODES + bucket, run_), total)
+            for bucket, pairs, mail_, _ in buckets_of(batches):
+                seats, over = sums(pairs, sent_state.value, samples, _seed(CODES + bucket, run_), total, Mail(pairs, 1, mail_[1], mail_[0]))
+                made = list(letters(pairs, seats, over, bucket, buckets))
+                if made:
+                    yield _table(_SUMS, *map(list, zip(*made, strict=True)))
             yield _slices(total)
             give_back()
 
-        return ranges.mapInArrow(of_ranges, _SUMS).unionByName(merged.mapInArrow(of_buckets, _SUMS))
+        rows = with_mail(others.drop("probes"), mail, few)
+        return ranges.mapInArrow(of_ranges, _SUMS).unionByName(rows.mapInArrow(of_buckets, _SUMS))
 
-    before, state = None, None
+    before, state, mail, made = None, None, None, None
     final = 1 if rounds == 0 else SAMPLES
     for run_ in range(rounds + 1):  # the last run's seatings are those that are scored
         before, samples = state, final if run_ == rounds else 1
-        state = State(tokens, vocabulary, customers, _add_up(seated(before, samples, run_), samples), before)
+        if run_:
+            mail = deal(made.where("kind in (0, 1)"), "bucket", "kind", tasks=few).mapInArrow(answered_letters, _SUMS)
+        made = materialise(seated(before, mail, samples, run_), "seated")
+        state = State(tokens, vocabulary, customers, _add_up(made.where(f"kind = {_SUM}"), samples), before)
+    told = None if mail is None else mail.unionByName(made.where("kind = 1").withColumn("kind", F.lit(_TOLD)))
     shared = context.broadcast((before, state))
 
     def score_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -633,7 +739,7 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
         for b in batches:
             for r in b.to_pylist():
                 pairs, at = _dense(r["bucket"], np.frombuffer(r["counts"], np.int64), dense)
-                p, _, _ = log_probabilities(pairs, own, after, _seed(r["bucket"], rounds))
+                p, *_ = log_probabilities(pairs, own, after, _seed(r["bucket"], rounds))
                 yield _table("bucket int, cells binary", [r["bucket"]], [pack(at.astype(np.uint32), p.astype(np.float32))])
 
     # at most dense x width single-precision numbers, however large the corpus
@@ -670,40 +776,40 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
         """Of each bucket contexts' totals for itself (kind 0); for the contexts' buckets types of
         two rare words with the words' probabilities (kind 1); and scores of the rest (kind 2)."""
         own, after = shared.value
-        for b in batches:
-            for i in range(b.num_rows):  # one bucket's bytes at a time
-                bucket, types, probes = (c[i].as_py() for c in b.columns)
-                pairs = pairs_of(bucket, types)
-                p, tables, parents = log_probabilities(pairs, own, after, _seed(CODES + bucket, rounds))
-                yield _table(_PARTS, [bucket], [0], [None], [pack(pairs.contexts, pairs.totals(pairs.c), *tables)])
-                n = np.full(len(p), -1)
-                n[pairs.at_w] = pairs.own(pairs.c)[pairs.of_w]
-                base = np.log10((np.maximum(n, 0) + 1) / (tokens + vocabulary + 1))
-                blocks, rows_, of, m, doc = unpack(probes)
-                block = np.repeat(blocks, rows_)
-                kinds, at = np.repeat(of, m), np.repeat(block, m)
-                made: list[tuple[int, int, int | None, bytes]] = []
-                for name, rows__ in by_block(at):
-                    d, k = doc[rows__], kinds[rows__]
-                    found = np.flatnonzero(np.bincount(d))
-                    mine = n[k] >= 0
-                    rare = np.flatnonzero(np.bincount(d[mine]))
-                    known = np.bincount(d[mine], n[k[mine]] > 0)[rare]
-                    based = np.bincount(d[mine], base[k[mine]])[rare]
-                    made.append((bucket, 2, name, pack(found.astype(np.uint16), np.bincount(d, p[k])[found].astype(np.float32), rare.astype(np.uint16), known.astype(np.uint32), based)))
-                place = np.full(len(pairs.w), -1)
-                place[pairs.asked] = np.arange(int(pairs.asked.sum()))
-                sent_ = np.flatnonzero((place[of] >= 0) & (m > 0))
-                to = _bucket(pairs.u[of[sent_]], buckets).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                sent_, to = sent_[order], to[order]
-                starts = np.cumsum(m, dtype=np.int64) - m
-                for name, rows__ in by_block(to):
-                    x = sent_[rows__]
-                    many = m[x].astype(np.int64)
-                    docs_ = doc[np.repeat(starts[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                    made.append((name, 1, None, shut(pack(pairs.u[of[x]], pairs.c[of[x]].astype(np.uint32), m[x], block[x], docs_, *(v[place[of[x]]] for v in parents)))))
-                yield _table(_PARTS, *map(list, zip(*made, strict=True))) if made else _table(_PARTS, [], [], [], [])
+        for bucket, pairs, mail_, probes in buckets_of(batches):
+            p, tables, parents, over = log_probabilities(pairs, own, after, _seed(CODES + bucket, rounds), Mail(pairs, 1, mail_[1], mail_[0]), Mail(pairs, samples, mail_[_TOLD]))
+            yield _table(_PARTS, [bucket], [0], [None], [pack(pairs.contexts, pairs.totals(pairs.c), *tables)])
+            n = np.full(len(p), -1)
+            n[pairs.at_w] = pairs.own(pairs.c)[pairs.of_w]
+            base = np.log10((np.maximum(n, 0) + 1) / (tokens + vocabulary + 1))
+            blocks, rows_, of, m, doc = unpack(opened(probes))
+            block = np.repeat(blocks, rows_)
+            kinds, at = np.repeat(of, m), np.repeat(block, m)
+            made: list[tuple[int, int, int | None, bytes]] = []
+            for name, rows__ in by_block(at):
+                d, k = doc[rows__], kinds[rows__]
+                found = np.flatnonzero(np.bincount(d))
+                mine = n[k] >= 0
+                rare = np.flatnonzero(np.bincount(d[mine]))
+                known = np.bincount(d[mine], n[k[mine]] > 0)[rare]
+                based = np.bincount(d[mine], base[k[mine]])[rare]
+                made.append((bucket, 2, name, pack(found.astype(np.uint16), np.bincount(d, p[k])[found].astype(np.float32), rare.astype(np.uint16), known.astype(np.uint32), based)))
+            place = np.full(len(pairs.w), -1)
+            place[pairs.asked] = np.arange(int(pairs.asked.sum()))
+            sent_ = np.flatnonzero((place[of] >= 0) & (m > 0))
+            to = _bucket(pairs.u[of[sent_]], buckets).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            sent_, to = sent_[order], to[order]
+            starts = np.cumsum(m, dtype=np.int64) - m
+            beyond = np.sum(over, axis=0)
+            for name, rows__ in by_block(to):
+                x = sent_[rows__]
+                many = m[x].astype(np.int64)
+                docs_ = doc[np.repeat(starts[x] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                ask = place[of[x]]
+                more = np.flatnonzero(beyond[ask])
+                made.append((name, 1, None, shut(pack(pairs.u[of[x]], pairs.c[of[x]].astype(np.uint32), m[x], block[x], docs_, more.astype(np.uint32), *(v[ask[more]] for v in over), *(v[ask] for v in parents)))))
+            yield _table(_PARTS, *map(list, zip(*made, strict=True))) if made else _table(_PARTS, [], [], [], [])
         give_back()
 
     def score_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -737,10 +843,12 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
                     continue
                 if now != bucket:
                     raise RuntimeError(f"bucket {now} has no totals of its contexts")
-                u, c, m, block, doc, *parents = unpack(opened(blob))
+                u, c, m, block, doc, more, *by_sample = unpack(opened(blob))
                 where = np.searchsorted(told[0], u)
                 c = c.astype(np.float64)
-                p = sum(c - D1 * np.minimum(c, 1) + (THETA1 + D1 * told[2 + s][where]) * x for s, x in enumerate(parents)) / (THETA1 + told[1][where]) / samples
+                over = np.zeros((samples, len(c)))
+                over[:, more] = by_sample[:samples]
+                p = sum(c - D1 * (np.minimum(c, 1) + over[s]) + (THETA1 + D1 * told[2 + s][where]) * x for s, x in enumerate(by_sample[samples:])) / (THETA1 + told[1][where]) / samples
                 asked.append((np.repeat(block, m), doc, np.repeat(np.log10(p), m)))
             done = np.flatnonzero(kinds == 2)
             if len(done):
@@ -748,7 +856,14 @@ def score_texts(docs: DataFrame, held: Column, top_words: int = TOP, dense: int
         yield from answered()
         give_back()
 
-    parts = others.select("bucket", "types", "probes").mapInArrow(score_buckets, _PARTS)
+    parts = others.mapInArrow(score_buckets, _PARTS)
+    if told is not None:  # a part of the buckets is beside its letters at a time, so that what is shuffled stays small
+        passes = []
+        for k in range(PASSES):
+            some = F.pmod("bucket", F.lit(PASSES)) == k
+            rows = with_mail(others.where(some), told.where(some), tasks // PASSES | 1)
+            passes.append(materialise(rows.mapInArrow(score_buckets, _PARTS), "scores"))
+        parts = reduce(DataFrame.unionByName, passes)
     returned = deal(parts, "bucket", "kind").mapInArrow(score_asked, "block bigint, blob binary")
     returned = returned.select("block", F.lit(-1).alias("kind"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in sums_of.fields[2:-1]), "blob")
     together = returned.unionByName(scored).repartition("block").sortWithinPartitions("block", "kind")
