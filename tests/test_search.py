@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.functions.filters import where
@@ -41,6 +44,61 @@ def test_batch_in_blocks(spark, corpus, data, metric):
     assert knn.batch(corpus.limit(0), queries, 7, metric).count() == 0
 
 
+class OneTask:
+    """A corpus whose mapInArrow hands out the function that a task runs."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def one_task(spark, queries, k, metric, batches):
+    """What a task gives, a batch a time, and the most MB that it allocated."""
+    run = knn._one_pass(OneTask(spark), list(range(len(queries))), queries, k, metric)
+    tracemalloc.start()
+    sizes, rows = [], []
+    for b in run(iter(batches)):
+        sizes.append(b.num_rows)
+        rows.append(np.column_stack([b.column(i).to_numpy() for i in range(3)]))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return np.concatenate(rows), sizes, peak - sum(r.nbytes for r in rows) / 1e6
+
+
+def arrow(ids, vectors):
+    flat = pa.array(vectors.ravel())
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, vectors.shape[1]), pa.int32()), flat)], names=["id", "vector"])
+
+
+@pytest.mark.parametrize("k", [80, 10])
+def test_a_task_is_bounded_whatever_the_rows(spark, k):
+    rng = np.random.default_rng(5)
+    queries = rng.standard_normal((3000, 8)).astype(np.float32).tolist()
+    batches = [arrow(np.arange(lo, lo + 10_000), rng.standard_normal((10_000, 8)).astype(np.float32)) for lo in range(0, 40_000, 10_000)]
+    rows, sizes, peak = one_task(spark, queries, k, "cosine", batches)
+    assert len(rows) == 3000 * k and peak < 60
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_task_finds_the_nearest_among_ties(spark, metric):
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, (9000, 3)).astype(np.float32) + np.float32(0.25)
+    vectors[rng.random(9000) < 0.3] = vectors[0]
+    ids = rng.permutation(9000) - 4000
+    queries = vectors[:300].astype(np.float64)
+    rows, _, _ = one_task(spark, queries.tolist(), 40, metric, [arrow(ids[lo : lo + 4000], vectors[lo : lo + 4000]) for lo in range(0, 9000, 4000)])
+    x, q = vectors.astype(np.float64), queries
+    d = np.linalg.norm(x[None] - q[:, None], axis=2) if metric == "l2" else 1 - (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    d = np.round(d, 6)
+    want = [(i, int(ids[j])) for i in range(300) for j in np.lexsort((ids, d[i]))[:40]]
+    assert [(int(a), int(b)) for a, b, _ in rows] == want
+
+
 def test_ties_go_by_id(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in (5, 3, 9, 1)], "id bigint, vector array<float>")
     assert [r.id for r in knn.exact(rows, [1.0, 0.0], 2).collect()] == [1, 3]

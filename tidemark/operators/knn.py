@@ -2,7 +2,9 @@
 
 Ranks are by (distance rounded to six digits, id), so ties are settled by id. The batch
 search sends the queries in blocks of a fixed number of rows, whatever their number, and
-keeps the k best of each query in every task before anything is shuffled.
+keeps the k best of each query in every task before anything is shuffled. A task takes
+distances in tiles of a fixed size, so it holds the block of queries, their k best and a
+tile, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +21,12 @@ from tidemark.functions.vectors import distance, distances, rounded, sketch8, un
 from tidemark.operators.versions import visible
 
 QUERY_BLOCK = 16_384
+#: neighbours that a task keeps for a block of queries, 24 bytes each; a larger k has smaller blocks
+KEPT = 1 << 21
+#: queries and rows whose distances are held at once
+TILE = 256, 2_048
 DIGITS = 6
+NEAR = np.dtype([("q", "<i8"), ("d", "<f8"), ("id", "<i8")])
 
 
 def _literal(vector: Sequence[float]) -> Column:
@@ -47,7 +54,7 @@ def batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     """qid, id, distance, rank: the k nearest rows of corpus(id, vector) of each of queries(qid, vector)."""
     # the queries' number is counted, and each pass over the corpus carries one block of them
     n = queries.count()
-    passes = max(1, -(-n // query_block))
+    passes = max(1, -(-n // max(1, min(query_block, KEPT // max(1, k)))))
     spot = F.pmod(F.xxhash64("qid"), F.lit(passes))
     found = None
     for p in range(passes):
@@ -58,6 +65,53 @@ def batch(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class _Nearest:
+    """The k nearest rows so far of each of a tile's queries, in order of query, distance, id."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str):
+        self.queries, self.k, self.metric = queries, k, metric
+        self.best = np.empty(0, dtype=NEAR)
+        # distance and id of each query's k-th; no distance is beyond nan, which stands where fewer are kept
+        self.last, self.last_id = np.full(len(queries), np.nan), np.zeros(len(queries), dtype=np.int64)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        found, n = [], 0
+        for lo in range(0, len(rows), TILE[1]):
+            part = self._within(ids[lo : lo + TILE[1]], distances(self.queries, rows[lo : lo + TILE[1]], self.metric))
+            found, n = [*found, part], n + len(part)
+            if n > self.k * len(self.queries):
+                self._keep(found)
+                found, n = [], 0
+        if n:
+            self._keep(found)
+
+    def _within(self, ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The rows that may be among the k nearest. Bounds on unrounded distances leave out
+        only what is beyond the k-th when rounded too."""
+        near = ~(d > _above(self.last)[:, None])
+        if d.shape[1] > self.k and np.count_nonzero(near) > 2 * self.k * len(d):
+            near &= ~(d > _above(np.partition(d, self.k - 1, axis=1)[:, self.k - 1])[:, None])
+        q, at = np.nonzero(near)
+        part = np.empty(len(q), dtype=NEAR)
+        part["q"], part["d"], part["id"] = q, np.round(d[q, at], DIGITS) + 0.0, ids[at]
+        last = self.last[q]
+        return part[~((part["d"] > last) | ((part["d"] == last) & (part["id"] > self.last_id[q])))]
+
+    def _keep(self, found: list[np.ndarray]) -> None:
+        rows = np.concatenate([self.best, *found])
+        rows = rows[np.lexsort((rows["id"], rows["d"], rows["q"]))]
+        sizes = np.bincount(rows["q"], minlength=len(self.queries))
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.best = rows[place < self.k]
+        full = rows[place == self.k - 1]
+        self.last[full["q"]], self.last_id[full["q"]] = full["d"], full["id"]
+
+
+def _above(d: np.ndarray) -> np.ndarray:
+    """Beyond every distance that is d when rounded, or is rounded to what d is rounded to."""
+    return d + (2 * 10**-DIGITS + 1e-14 * np.abs(d))
+
+
 def _one_pass(corpus: DataFrame, qids: list[int], vectors: list, k: int, metric: str) -> DataFrame:
     spark = corpus.sparkSession
     q = np.array(vectors, dtype=np.float64).reshape(len(qids), -1 if qids else 0)
@@ -65,29 +119,18 @@ def _one_pass(corpus: DataFrame, qids: list[int], vectors: list, k: int, metric:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_q, own = sent.value
-        best = np.empty(0, dtype=[("q", "<i8"), ("d", "<f8"), ("id", "<i8")])
-
-        def cut(rows: np.ndarray) -> np.ndarray:
-            rows = rows[np.lexsort((rows["id"], rows["d"], rows["q"]))]
-            first = np.flatnonzero(np.concatenate(([True], rows["q"][1:] != rows["q"][:-1]))) if len(rows) else np.zeros(0, int)
-            place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-            return rows[place < k]
-
+        kept = [_Nearest(own[lo : lo + TILE[0]], k, metric) for lo in range(0, len(own) if k > 0 else 0, TILE[0])]
         for b in batches:
-            if not b.num_rows or not len(own) or k <= 0:
+            if not b.num_rows or not kept:
                 continue
             ids = b.column(0).to_numpy()
             rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             rows = units(rows) if metric == "cosine" else rows
-            for lo in range(0, len(own), 512):
-                d = np.round(distances(own[lo : lo + 512], rows, metric), DIGITS) + 0.0
-                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                i, j = np.nonzero(d <= kth[:, None])
-                part = np.empty(len(i), dtype=best.dtype)
-                part["q"], part["d"], part["id"] = i + lo, d[i, j], ids[j]
-                best = np.concatenate([best, cut(part)])
-            best = cut(best)
-        yield pa.RecordBatch.from_arrays([pa.array(ids_q[best["q"]]), pa.array(best["id"]), pa.array(best["d"])], names=["qid", "id", "distance"])
+            for near in kept:
+                near.add(ids, rows)
+        for i, near in enumerate(kept):
+            best = near.best
+            yield pa.RecordBatch.from_arrays([pa.array(ids_q[best["q"] + i * TILE[0]]), pa.array(best["id"]), pa.array(best["d"])], names=["qid", "id", "distance"])
 
     return corpus.select(F.col("id").cast("bigint"), "vector").mapInArrow(run, T.StructType.fromDDL("qid bigint, id bigint, distance double"))
 
