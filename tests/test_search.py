@@ -84,6 +84,14 @@ def test_a_task_is_bounded_whatever_the_rows(spark, k):
     assert len(rows) == 3000 * k and peak < 60
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_task_gives_its_rows_in_small_batches(spark, metric):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((2000, 8)).astype(np.float32)
+    rows, sizes, _ = one_task(spark, vectors.tolist(), 10, metric, [arrow(np.arange(2000), vectors)])
+    assert len(rows) == 20_000 and max(sizes) <= 2560
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_a_task_finds_the_nearest_among_ties(spark, metric):
     rng = np.random.default_rng(6)
