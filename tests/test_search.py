@@ -92,6 +92,16 @@ def test_a_task_gives_its_rows_in_small_batches(spark, metric):
     assert len(rows) == 20_000 and max(sizes) <= 2560
 
 
+def test_blocks_of_queries_are_smaller_for_a_large_k(spark, monkeypatch):
+    vectors = np.random.default_rng(9).standard_normal((40, 4)).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id bigint, vector array<double>")
+    asked, one_pass = [], knn._one_pass
+    monkeypatch.setattr(knn, "_one_pass", lambda c, qids, *rest: (asked.append(len(qids)), one_pass(c, qids, *rest))[1])
+    k = 1 << 18  # 40 queries of it are five times the neighbours that a task keeps
+    assert knn.batch(rows, rows.withColumnRenamed("id", "qid"), k).count() == 1600
+    assert sum(asked) == 40 and len(asked) == 5
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_a_task_finds_the_nearest_among_ties(spark, metric):
     rng = np.random.default_rng(6)
